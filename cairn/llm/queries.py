@@ -11,6 +11,24 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), distance=3, words=3, seed=42)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), risk=0.02, error=0.05)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_best_fit_packing, op8_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_secret_scans, op5_simhash, op6_quality_rules, op7_best_fit_packing, op8_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
