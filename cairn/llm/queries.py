@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), learn=fold(3) != 1)
+    return score(docs, model, least=0.7).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted", "n_passages")
+
+
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), learn=fold(5) != 0)
+    return score(docs, model, least=0.3).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -54,7 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_secret_scans, op5_simhash, op6_quality_rules, op7_best_fit_packing, op8_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_knn, op4_secret_scans, op5_simhash, op6_quality_rules, op7_best_fit_packing, op8_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
