@@ -114,3 +114,25 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
         F.sha2(_joined(_of(base)), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, with every span of a secret (overlapping ones as one) replaced by `mask` in the text.
+
+    Findings meet their texts again by blob; texts that pass no gate are left where they are.
+    """
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    _, additions = scan(docs, None, rules, id_col, text_col)
+    spans = additions.where(F.size("spans") > 0).groupBy(F.col("blob").alias("blob__")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans__"))
+    passes = reduce(or_, (_gate(r, body, F.lower(body)) for r in rules))
+    held = docs.where(passes).withColumn("blob__", F.sha2(body, 256)).join(spans, "blob__", "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        # A span that begins inside the one before lengthens it.
+        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, F.lit(mask)))).alias("parts"))
+
+    clean = F.aggregate("spans__", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(1 << 30))))
+    changed = held.withColumn(text_col, F.when(F.col("spans__").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    return docs.where(~passes).unionByName(changed)

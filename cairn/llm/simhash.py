@@ -168,3 +168,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, seed: in
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose id is the smallest of their component; of rows that repeat an id, one."""
+    found = near_duplicates(docs, distance, words, seed, id_col, text_col)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
+    return docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads["head"]), "left_semi").dropDuplicates([id_col])

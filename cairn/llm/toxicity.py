@@ -224,3 +224,19 @@ def score(docs: DataFrame, model: Model, least: float = 0.7, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array([int(s >= least) for s in out], pa.int32()), pa.array(passages, pa.int64())], names=["doc_id", "score", "predicted", "n_passages"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, n_passages long")
+
+
+def reject(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose whole text scores below `least`. No shuffle."""
+    text_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for text in b.column(text_col).to_pylist():
+                words = WORD.findall((text or "").lower())
+                keep.append(shared.value.probability([s for s, _, _ in shared.value.segments(words)], len(words)) < least)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
