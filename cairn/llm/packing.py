@@ -31,7 +31,7 @@ from .common import partitions, stored, text_batches, texts
 #: Words remembered for each worker before the memory is dropped and begun anew.
 REMEMBER = 500_000
 #: Nodes that the search may visit before it returns the best plan met.
-NODES = 20_000
+NODES = 4_000
 
 
 #: Fixed value: the split of words that the supported tokenizer files make after lower-casing.
@@ -179,14 +179,31 @@ def fillings(left: dict[int, int], big: int, size: int, allowed: int, most: int
     return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-n for n in x[0])))[:most]]
 
 
+def lower_bound(counts: dict[int, int], size: int) -> int:
+    """Sequences that any packing needs: the largest, over a, of Martello and Toth's bound. What is longer than size - a takes a
+    sequence with nothing of a or longer; what is longer than half of one takes its own; the rest of at least a fills the room left."""
+    n = np.zeros(size + 2, np.int64)
+    for length, c in counts.items():
+        n[length] = c
+    many, mass = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.arange(size + 2))]  # of lengths below the index
+    half = size // 2
+    best = 0
+    for a in range(half + 1):
+        big = many[size + 1] - many[size - a + 1]
+        middle, middle_mass = many[size - a + 1] - many[half + 1], mass[size - a + 1] - mass[half + 1]
+        small = mass[half + 1] - mass[a]
+        best = max(best, big + middle + max(0, -(-(small - (middle * size - middle_mass)) // size)))
+    return int(best)
+
+
 def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Runs (filling, times) that hold every length of the histogram in as few sequences as the search finds.
 
-    It stops when the number of sequences equals the lower bound ceil(sum / size), and returns the incumbent after `nodes` steps.
+    It stops when the number of sequences equals lower_bound(), and returns the incumbent after `nodes` steps.
     """
     counts = {n: c for n, c in counts.items() if c}
     total = sum(n * c for n, c in counts.items())
-    bound = -(-total // size)
+    bound = lower_bound(counts, size)
     best = best_fit(counts, size)
     least = sum(t for _, t in best)
     spent = 0
