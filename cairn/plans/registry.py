@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import search
+
+QUERIES = {**search.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+
+def flagship(spark, sf_dir: str):
+    return search.hybrid_search(spark, sf_dir)
