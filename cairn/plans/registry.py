@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import ingest, search
 
-QUERIES = {**search.QUERIES}
+QUERIES = {**search.QUERIES, **ingest.QUERIES}
 
 
 def queries() -> dict:

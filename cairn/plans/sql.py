@@ -55,4 +55,4 @@ sparse_scores AS (SELECT q.id AS query_id, d.id AS id, round(sum(q.weight * d.we
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse_scores) WHERE rank <= {k})"""
 
 
-CHUNK_LINES = "string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', '\\n', 'g'), chr(10))"
+CHUNK_LINES = "string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10))"
