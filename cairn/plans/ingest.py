@@ -455,7 +455,7 @@ def effective_defaults(spark, sf):
 EFFECTIVE_DEFAULTS = """WITH e AS (SELECT event_id, event_type, (props::JSON ->> '$.k')::BIGINT AS k FROM events), p AS (SELECT event_type, count(*) FILTER (value > 50) AS n FROM events GROUP BY event_type),
 t AS (SELECT event_id, coalesce(CASE WHEN k > 5 THEN k END, CASE WHEN n < 100 THEN n END, 10)::BIGINT AS top_k FROM e JOIN p USING (event_type)) SELECT event_id, top_k, CASE WHEN NOT top_k BETWEEN 1 AND 100 THEN 'topK' END AS error FROM t"""
 
-RULES = ["# rules", "*.tmp", "*/p1?", "!example1.*/**/p15", "docs/", "/example2*", "**/p2"]
+RULES = ["# rules", "*.tmp", "fr/", "!**/fr/8*", "/blog.*", "**/6??", "en/7*#top", "!/thth*"]
 
 
 def ignore_rules(spark, sf):
@@ -544,13 +544,13 @@ REDACTED_SOURCES = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR lang = 'en' THEN
 
 
 def eval_targets(spark, sf):
-    """Items against pages: the page's base name is the item's file and the text holds the anchor."""
-    p = table(spark, sf, "pages").select("page_id", F.lower(T.basename(F.col("url"))).alias("base"), "html")
-    want = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("p"), (F.col("item_id") % 50).cast("string")).alias("file"), F.split("text", " ")[0].alias("anchor"))
+    """Items against pages: the page's base name is one of the item's files and its text holds the anchor."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("base"), "html")
+    want = table(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.col("item_id") * 5, F.col("item_id") * 5 + 9)).cast("string").alias("file"), F.split("text", " ")[1].alias("anchor"))
     hit = p.join(want, F.col("base") == F.col("file"))
     return hit.select("item_id", "page_id", (F.instr(F.lower("html"), F.lower(F.col("anchor"))) > 0).alias("anchored"))
 
 
-EVAL_TARGETS = """SELECT item_id, page_id, instr(lower(html), lower(string_split(text, ' ')[1])) > 0 AS anchored FROM pages JOIN benchmark ON lower(string_split(url, '/')[-1]) = 'p' || (item_id % 50)"""
+EVAL_TARGETS = """SELECT item_id, page_id, instr(lower(html), lower(string_split(text, ' ')[2])) > 0 AS anchored FROM pages JOIN (SELECT item_id, text, unnest(range(item_id * 5, item_id * 5 + 10)) AS f FROM benchmark) ON regexp_extract(url, '/([0-9]+)', 1) = f::VARCHAR"""
 
 QUERIES = {name.lower(): (f, globals().get(name.upper())) for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
