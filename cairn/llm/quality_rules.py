@@ -110,6 +110,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     counted = counts(docs, id_col, text_col, stratum).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = stored(counted)
     cuts = thresholds(counted, labels, risk, error)
-    reasons = F.filter(F.array(*(F.when(value() > F.col(f"cut_{name}"), F.lit(name)) for name, value in RULES.items())), lambda r: r.isNotNull())
+    # Names of the rules that reject, joined by commas.
+    reasons = F.concat_ws(",", *(F.when(value() > F.col(f"cut_{name}"), F.lit(name)) for name, value in RULES.items()))
     # One row for each stratum with good labels: languages, a small table; the planner sees its size before it chooses the join.
-    return counted.join(cuts, "stratum", "left").withColumn("reasons", reasons).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons")
+    return counted.join(cuts, "stratum", "left").withColumn("reasons", reasons).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("reasons") == "")).alias("kept"), "reasons")
