@@ -198,3 +198,28 @@ def basename(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(\.[^.]*)$", 1))
+
+
+def normalised(text: Column) -> Column:
+    """Lower case without accents, runs of white space as one space."""
+    return F.trim(F.regexp_replace(fold(text), r"\s+", " "))
+
+
+def locate_once(haystack: Column, needle: Column) -> Column:
+    """Place (from 0, white space not counted) of the needle; null if it is absent or there more than once."""
+    h, n = F.regexp_replace(haystack, r"\s+", ""), F.regexp_replace(needle, r"\s+", "")
+    first = F.instr(h, n)
+    again = F.instr(F.substring(h, first + 1, F.length(h)), n)
+    return F.when((n != "") & (first > 0) & (again == 0), (first - 1).cast("long"))
+
+
+def chunk_header(repo: Column, path: Column, start: Column, end: Column) -> Column:
+    return F.concat(F.lit("// Repository: "), repo, F.lit("\n// File: "), path, F.lit("\n// Lines: "), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def contract_fingerprint(parts: dict[str, Column], extensions: Column) -> Column:
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items()), F.concat(F.lit("ext="), F.array_join(F.array_sort(extensions), ",")))
+
+
+def score_text(score: Column, percent: bool = False) -> Column:
+    return F.format_string("%.1f%%", score * 100) if percent else F.format_string("%.2f", score)

@@ -47,3 +47,28 @@ def walk(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, hops: int) -> D
         front = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).cast("long").alias("hop"))
         seen = seen.unionByName(front)
     return seen
+
+
+def replace_document(nodes: DataFrame, edges: DataFrame, applied: DataFrame, event: str, document: str, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with a document's nodes replaced and every edge that touched them dropped; an event that has been applied changes nothing.
+
+    nodes(node, document), edges(src, dst), applied(event).
+    """
+    done = applied.where(F.col("event") == event).select(F.lit(1).alias("done__")).limit(1)
+    old = nodes.where(F.col("document") == document).select("node")
+    fresh_nodes = nodes.where(F.col("document") != document).unionByName(new_nodes)
+    kept = edges.join(old.withColumnRenamed("node", "src"), "src", "left_anti").join(old.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    fresh_edges = kept.unionByName(new_edges).distinct()
+
+    def choose(fresh: DataFrame, was: DataFrame) -> DataFrame:
+        flag = F.broadcast(done)  # at most one row
+        return fresh.join(flag, F.lit(True), "left_anti").unionByName(was.select(*fresh.columns).join(flag, F.lit(True), "left_semi"))
+
+    return choose(fresh_nodes, nodes), choose(fresh_edges, edges)
+
+
+def member_runs(members: DataFrame, by: str, order: str, kind: str) -> DataFrame:
+    """(by, kind, run, first, last, n): islands of neighbouring members of one kind."""
+    place = members.withColumn("i__", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    island = place.withColumn("run__", F.col("i__") - F.row_number().over(Window.partitionBy(by, kind).orderBy("i__")))
+    return island.groupBy(by, kind, "run__").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run__")

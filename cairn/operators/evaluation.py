@@ -130,3 +130,45 @@ def worst_status(rows: DataFrame, by: str, status: str, order: list[str]) -> Dat
     """(by, worst): the status latest in the order of severity."""
     severity = reduce(lambda acc, x: acc.when(F.col(status) == x[1], x[0]), enumerate(order), F.when(F.lit(False), -1))
     return rows.groupBy(by).agg(F.max_by(F.col(status), severity).alias("worst"))
+
+
+def matches_target(path: Column, content: Column, suffix: Column, anchors: Column) -> Column:
+    """A path with the suffix, whatever the case, and a text with one of the anchors; no anchors match all."""
+    has = F.exists(anchors, lambda a: F.lower(content).contains(F.lower(a)))
+    return F.lower(path).endswith(F.lower(suffix)) & ((F.size(anchors) == 0) | has)
+
+
+def anchor_status(anchors: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item, status) of anchors(item, file, anchor): no_file, not_in_file, not_indexed, not_in_chunk or ok, of files(file, text) and chunks(file, content)."""
+    text = anchors.join(files, "file", "left")
+    held = anchors.join(chunks, "file").groupBy("item").agg(F.max(F.col("content").contains(F.col("anchor")).cast("int")).alias("held"))
+    out = text.join(held, "item", "left")
+    status = F.when(F.col("text").isNull(), "no_file").when(~F.col("text").contains(F.col("anchor")), "not_in_file").when(F.col("held").isNull(), "not_indexed").when(F.col("held") == 0, "not_in_chunk").otherwise("ok")
+    return out.select("item", status.alias("status"))
+
+
+def precision_without_reuse(claims: DataFrame) -> DataFrame:
+    """(given, correct, abstained, reused) of claims(query, opportunity, predicted, target): a null prediction abstains, and a target named again in one query counts as reuse, not as correct."""
+    order = Window.partitionBy("query", "predicted").orderBy("opportunity")
+    seen = claims.withColumn("again", F.col("predicted").isNotNull() & (F.row_number().over(order) > 1))
+    given = F.col("predicted").isNotNull()
+    return seen.agg(F.count_if(given).alias("given"), F.count_if(given & ~F.col("again") & (F.col("predicted") == F.col("target"))).alias("correct"), F.count_if(~given).alias("abstained"), F.count_if("again").alias("reused"))
+
+
+def winner_substituted(ranked: DataFrame, stable: DataFrame) -> DataFrame:
+    """Ranked rows, the first of each query with its stable score; the order stays as it is."""
+    return ranked.join(stable.select("query_id", F.col("score").alias("stable__")), "query_id", "left").withColumn("score", F.when(F.col("rank") == 1, F.coalesce("stable__", "score")).otherwise(F.col("score"))).drop("stable__")
+
+
+def meta_intent(queries: DataFrame, exemplars: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """(query_id, best, is_meta): the largest dot product with any exemplar, of unit vectors. Exemplars are a fixed short list."""
+    from cairn.operators.retrieval import dense_topk
+
+    # Exemplars are what is searched for each query block; ids apart, so that none is left out as its own.
+    near = dense_topk(queries, exemplars.select((-F.col("id") - 1).alias("id"), "v"), 1)
+    return near.select("query_id", F.col("score").alias("best"), (F.col("score") >= threshold).alias("is_meta"))
+
+
+def valid_calibration(low: Column, high: Column, identity: Column) -> Column:
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.coalesce(finite(low) & finite(high) & (low >= 0) & (low < high) & (high <= 1) & identity.rlike("^[0-9a-f]{64}$"), F.lit(False))

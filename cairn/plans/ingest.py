@@ -546,7 +546,7 @@ REDACTED_SOURCES = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR lang = 'en' THEN
 def eval_targets(spark, sf):
     """Items against pages: the page's base name is one of the item's files and its text holds the anchor."""
     p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).alias("base"), "html")
-    want = table(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.col("item_id") * 5, F.col("item_id") * 5 + 9)).cast("string").alias("file"), F.split("text", " ")[1].alias("anchor"))
+    want = table(spark, sf, "benchmark").select("item_id", F.explode(F.transform(F.sequence(F.col("item_id") * 5, F.col("item_id") * 5 + 9), lambda n: n.cast("string"))).alias("file"), F.split("text", " ")[1].alias("anchor"))
     hit = p.join(want, F.col("base") == F.col("file"))
     return hit.select("item_id", "page_id", (F.instr(F.lower("html"), F.lower(F.col("anchor"))) > 0).alias("anchored"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest, search
+from . import ingest, more, search
 
-QUERIES = {**search.QUERIES, **ingest.QUERIES}
+QUERIES = {**search.QUERIES, **ingest.QUERIES, **more.QUERIES}
 
 
 def queries() -> dict:
