@@ -113,11 +113,11 @@ ANCHOR_VERIFICATION = """SELECT doc_id AS item, CASE WHEN doc_id % 7 = 0 THEN 'n
 
 
 def precision_with_abstention(spark, sf):
-    o = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").cast("int").alias("opportunity"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_partkey") % 3).alias("predicted"), (F.col("l_suppkey") % 3).alias("target"))
+    o = table(spark, sf, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("opportunity"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 37).alias("predicted"), (F.col("event_id") % 74).alias("target"))
     return E.precision_without_reuse(o)
 
 
-PRECISION_WITH_ABSTENTION = """WITH c AS (SELECT l_orderkey AS q, l_linenumber AS o, CASE WHEN l_linenumber % 4 <> 0 THEN l_partkey % 3 END AS p, l_suppkey % 3 AS t FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY q, p ORDER BY o) AS n FROM c)
+PRECISION_WITH_ABSTENTION = """WITH c AS (SELECT user_id AS q, event_id AS o, CASE WHEN event_id % 4 <> 0 THEN event_id % 37 END AS p, event_id % 74 AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY q, p ORDER BY o) AS n FROM c)
 SELECT count(p) AS given, count(*) FILTER (n = 1 AND p = t) AS correct, count(*) FILTER (p IS NULL) AS abstained, count(*) FILTER (p IS NOT NULL AND n > 1) AS reused FROM r"""
 
 

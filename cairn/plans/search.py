@@ -9,6 +9,7 @@ from cairn.functions import identity as I
 from cairn.functions import text as T
 from cairn.operators import evaluation as E
 from cairn.operators import retrieval as R
+from cairn.sources.tables import spread
 
 from . import sql as Q
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _dense(spark, sf, k=K, **more) -> DataFrame:
