@@ -30,7 +30,7 @@ from .common import partitions, stored, text_batches
 CURVES = 24
 DIMENSIONS = 8
 BITS = 4
-SHARE = 0.008
+SHARE = 0.012
 LEAST, MOST = 512, 65536
 SAMPLE = 16384
 #: Neighbours that a zone's window has on either side.
