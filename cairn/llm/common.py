@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import spread
+
 #: Rows in an Arrow batch of texts: memory in a worker is this times the text size.
 TEXT_BATCH = 256
 
@@ -27,7 +29,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in one small file are dealt over all cores, other tables are read as their splits are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -94,11 +94,12 @@ def thresholds(counted: DataFrame, labels: DataFrame, risk: float = 0.02, error:
     every = sizes.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
     # Rejected at a place: the rows that the cutoff there, or a laxer one, rejects.
     lost = every.join(cells, ["stratum", "rule", "place"], "left").withColumn("lost", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("stratum", "rule").orderBy("place")))
-    strata = sizes.agg(F.countDistinct("stratum").alias("strata"))
     share = risk / len(RULES)
     # Beyond the mean the tail is above a half: no need to sum it.
     tail = F.when(F.col("lost") > F.col("n_good") * share, 1.0).otherwise(binomial_tail(F.col("lost"), F.col("n_good"), share))
-    tested = lost.crossJoin(F.broadcast(strata)).withColumn("passes", tail <= F.lit(error) / (F.lit(len(RULES)) * F.col("strata")))  # strata: one row
+    # GRID rows for each stratum and rule: small enough to count the strata in one place.
+    strata = F.size(F.collect_set("stratum").over(Window.partitionBy(F.lit(0))))
+    tested = lost.withColumn("strata", strata).withColumn("passes", tail <= F.lit(error) / (F.lit(len(RULES)) * F.col("strata")))
     walk = Window.partitionBy("stratum", "rule").orderBy("place")
     chosen = tested.withColumn("upto", F.min(F.col("passes").cast("int")).over(walk)).where("upto = 1").groupBy("stratum", "rule").agg(F.max("place").alias("place"))
     cut = chosen.withColumn("cutoff", F.element_at(F.array(*map(F.lit, grid)), F.col("place") + 1))

@@ -207,7 +207,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
                 yield pa.RecordBatch.from_arrays([b.column("uid").take(at), b.column("th").take(at), pa.array(place[of]), signed(key[of]), signed(context[of]), pa.array(left[of].astype(np.int32)), pa.array(right[of].astype(np.int32))], names=["uid", "th", "place", "key", "context", "left", "right"])
 
     found = stored(docs.where(F.octet_length("text") >= length).mapInArrow(sample, wide))
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
+    # Stored, so that the join below deals both sides anew and can split a leading string that very many texts share.
+    keys = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1"))
     members = stored(found.join(keys, "key").withColumn("plain", F.col("low") == F.col("high")).drop("n", "low", "high"))
     several = members.where("not plain")
     kinds = several.groupBy("key", "context").agg(F.count("*").alias("m"), F.min(F.struct("uid", "th", "place", "left", "right")).alias("at"))
