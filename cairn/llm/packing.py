@@ -131,52 +131,61 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def fillings(left: dict[int, int], big: int, size: int, allowed: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings around `big`, least waste first: none can be bettered by one length in place of several that sum to it or less, or of a shorter one.
+def fillings(left: np.ndarray, big: int, size: int, allowed: int, most: int = 8) -> list[tuple[int, ...]]:
+    """Fillings of one to three lengths around `big`, and the best-fit one of any number, least waste first, undominated: no part could be a length that is there and longer by no more than the waste.
 
-    `allowed`: waste beyond which a filling cannot be part of a better solution; `most`: fillings looked for.
+    left: how many there are of each length; `allowed`: waste beyond which a filling cannot be part of a better solution; `most`: fillings returned.
     """
     room = size - big
-    lengths = [n for n in sorted(left, reverse=True) if n <= room and left[n] - (n == big) > 0]
-    have = np.zeros(room + 2, np.int64)
-    have[lengths] = 1
-    largest = np.maximum.accumulate(have * np.arange(room + 2))  # the largest length that fits into each room
-    found: dict[tuple[int, ...], int] = {}
-
-    def note(rest: tuple[int, ...]) -> None:
-        waste = room - sum(rest)
-        if waste > allowed:
-            return
-        use: dict[int, int] = {}
-        for n in rest:
-            use[n] = use.get(n, 0) + 1
-        if any(left[n] - (n == big) < k for n, k in use.items()):
-            return
-        # Dominance: the waste could lengthen some part.
-        if waste and any(largest[min(n + waste, room)] > n and largest[min(n + waste, room)] not in use for n in use):
-            return
-        found.setdefault(rest, waste)
-
-    if not lengths:
+    have = left[: room + 1].copy()
+    if big <= room:
+        have[big] -= 1
+    lengths = np.flatnonzero(have > 0)[::-1]
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
         return [()] if room <= allowed else []
-    exact = int(largest[room])
-    note((exact,))
-    for a in lengths:
-        if len(found) >= most and 0 in found.values():
+    fits = np.zeros(room + 1, np.int64)
+    fits[lengths] = lengths
+    largest = np.maximum.accumulate(fits)  # the largest length that fits into each room
+    b = largest[room - lengths]
+    pairs = np.stack([lengths, b, np.zeros_like(b)], axis=1)[(b > 0) & (b <= lengths)]
+    found = [np.array([[largest[room], 0, 0]]), pairs]
+    if not len(pairs) or pairs.sum(axis=1).max() < room:
+        # No pair fills the room: for each first part the longest second parts that leave room, and what fits then.
+        first = np.searchsorted(-lengths, -np.minimum(lengths, room - lengths))[:, None] + np.arange(64)
+        second = np.where(first < len(lengths), lengths[np.minimum(first, len(lengths) - 1)], 0)
+        rest = room - lengths[:, None] - second
+        third = np.where((second > 0) & (rest >= 0), largest[np.maximum(rest, 0)], 0)
+        good = (third > 0) & (third <= second)
+        found.append(np.stack([np.broadcast_to(lengths[:, None], second.shape)[good], second[good], third[good]], axis=1))
+    parts = np.concatenate(found)
+    waste = room - parts.sum(axis=1)
+    parts, waste = parts[waste <= allowed], waste[waste <= allowed]
+    order = np.lexsort((-parts[:, 0], (parts > 0).sum(axis=1), waste))
+    out: list[tuple[int, ...]] = []
+    # Best fit with as many parts as it takes.
+    chain, use, gap = [], {}, room
+    while gap:
+        n = int(largest[gap])
+        while n and use.get(n, 0) >= have[n]:
+            n = int(largest[n - 1])
+        if not n:
             break
-        b = int(largest[room - a])
-        if b and b <= a:
-            note((a, b))
-    if 0 not in found.values():
-        for a in lengths:
-            if 0 in found.values():
+        chain.append(n)
+        use[n] = use.get(n, 0) + 1
+        gap -= n
+    if len(chain) > 3 and gap <= allowed:
+        out.append(tuple(chain))
+    for i in order[: 16 * most].tolist():
+        rest = tuple(int(n) for n in parts[i] if n)
+        w = int(waste[i])
+        enough = all(have[n] >= rest.count(n) for n in rest)
+        better = w and any(largest[min(n + w, room)] > n and largest[min(n + w, room)] not in rest for n in rest)
+        if enough and not better and rest not in out:
+            out.append(rest)
+            if len(out) == most:
                 break
-            for b in [n for n in lengths if n <= a and n <= room - a][:64]:
-                c = int(largest[room - a - b])
-                note((a, b, c) if 0 < c <= b else (a, b))
-                if c and c <= b and a + b + c == room:
-                    break
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-n for n in x[0])))[:most]]
+    return sorted(out, key=lambda f: room - sum(f))
 
 
 def lower_bound(counts: dict[int, int], size: int) -> int:
@@ -207,27 +216,27 @@ def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list
     best = best_fit(counts, size)
     least = sum(t for _, t in best)
     spent = 0
-    # A depth-first search; a frame: (histogram left, sequences so far, waste so far, run taken, fillings not yet tried).
-    stack: list[tuple[dict[int, int], int, int, list, list | None]] = [(counts, 0, 0, [], None)]
+    whole = np.zeros(size + 1, np.int64)
+    for n, c in counts.items():
+        whole[n] = c
+    # A depth-first search; a frame: (lengths left, sequences so far, waste so far, runs taken as a linked list, fillings not yet tried).
+    stack: list[tuple[np.ndarray, int, int, tuple | None, list | None]] = [(whole, 0, 0, None, None)]
     while stack and least > bound and spent < nodes:
         left, bins, waste, runs, todo = stack.pop()
         spent += 1
-        if not left:
+        there = np.flatnonzero(left)
+        if not len(there):
             if bins < least:
-                best, least = runs, bins
+                best, least = _listed(runs), bins
             continue
         allowed = (least - 1) * size - total - waste  # waste that a better solution may still add
         if allowed < 0:
             continue
-        big = max(left)
+        big = int(there[-1])
         if todo is None:
             todo = fillings(left, big, size, allowed)
             if not todo:
-                # Nothing fits well enough: best fit for the rest is the only completion left to try.
-                rest = best_fit(left, size)
-                if bins + sum(t for _, t in rest) < least:
-                    best, least = runs + rest, bins + sum(t for _, t in rest)
-                continue
+                continue  # every filling wastes more than a better solution may
         filling, more = todo[0], todo[1:]
         if more:
             stack.append((left, bins, waste, runs, more))
@@ -235,18 +244,24 @@ def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list
         for n in filling:
             use[n] = use.get(n, 0) + 1
         lost = size - big - sum(filling)
-        times = min(left[n] // k for n, k in use.items())
+        times = min(int(left[n]) // k for n, k in use.items())
         if lost:
             times = min(times, max(1, allowed // lost))
-        after = dict(left)
+        after = left.copy()
         for n, k in use.items():
             after[n] -= k * times
-            if not after[n]:
-                del after[n]
-        stack.append((after, bins + times, waste + lost * times, [*runs, ((big, *filling), times)], None))
+        stack.append((after, bins + times, waste + lost * times, (runs, ((big, *filling), times)), None))
     return best
 
 
+def _listed(runs: tuple | None) -> list[tuple[tuple[int, ...], int]]:
+    out = []
+    while runs is not None:
+        runs, run = runs
+        out.append(run)
+    return out[::-1]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
