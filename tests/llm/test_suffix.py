@@ -74,3 +74,29 @@ def test_multikey_sort():
     for k in range(1, 300):
         (g, x), (h, y) = plain[k - 1], plain[k]
         assert common[k] == (-1 if g != h else next((i for i in range(21) if x[i] != y[i]), 21))
+
+
+def test_segments_share_anchors(monkeypatch):
+    """Every window holds an anchor, equal windows hold it at the same place, however long texts are cut for hashing."""
+    rng = random.Random(9)
+    part = bytes(rng.randrange(97, 101) for _ in range(900))
+    body = bytes(rng.randrange(97, 101) for _ in range(2500)) + part + bytes(rng.randrange(97, 101) for _ in range(3100)) + part
+    bodies = [body, part + b"zz", b"", b"a" * 700]
+
+    def found():
+        out = {}
+        for text, place, key, context, left, right in S.anchors(bodies, 40, 16):
+            out |= {(t, p): (k, c, a, b) for t, p, k, c, a, b in zip(text.tolist(), place.tolist(), key.tolist(), context.tolist(), left.tolist(), right.tolist())}
+        return out
+
+    whole = found()
+    monkeypatch.setattr(S, "BUFFER", 1 << 10)
+    cut = found()
+    for have in (whole, cut):
+        at = [sorted(p for t, p in have if t == i) for i in range(len(bodies))]
+        for i, b in enumerate(bodies):
+            for w in range(len(b) - 40 + 1):
+                assert any(w <= p <= w + 24 for p in at[i])
+        inside = lambda t, base: {p - base for p in at[t] if base + 24 <= p <= base + 900 - 40}
+        assert inside(0, 2500) == inside(0, 2500 + 900 + 3100) == inside(1, 0) and inside(1, 0)
+    assert {k: v for k, v in whole.items() if k in cut} == {k: v for k, v in cut.items() if k in whole}
