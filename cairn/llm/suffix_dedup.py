@@ -272,7 +272,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
     twice = each.groupBy("key", "o", "window").agg(F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high").select("key", "o", "window")
     crowded = each.join(twice, ["key", "o", "window"]).groupBy("key", "context").agg(F.max("o").alias("a"), (F.lit(length) - F.min("o")).alias("b"))
     whole = many.where("m > 1").select("key", "context", F.col("left").cast("long").alias("a"), (F.octet_length("body") - F.col("left")).cast("long").alias("b"))
-    reached = near.unionByName(crowded).unionByName(whole).groupBy("key", "context").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    # Stored for the same reason as the keys: very many anchors may share one context.
+    reached = stored(near.unionByName(crowded).unionByName(whole).groupBy("key", "context").agg(F.max("a").alias("a"), F.max("b").alias("b")))
     span = lambda a, b: F.struct((F.col("place") - F.col(a)).cast("long").alias("a"), (F.col("place") + F.col(b)).cast("long").alias("b")).alias("span")
     cover = members.where("plain").select("uid", "th", span("left", "right")).unionByName(several.join(reached, ["key", "context"]).select("uid", "th", span("a", "b")))
     return cover.groupBy("uid", "th").agg(F.collect_set("span").alias("cover"))
