@@ -170,6 +170,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, seed: in
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_each(rooted: DataFrame) -> DataFrame:
+    """(_row) of each root's smallest id; nulls come last, equal ids by row. From (_row, id, root)."""
+    return rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row")).select("_row")
+
+
 def one_of_each(docs: DataFrame, distance: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose id is the smallest of their component; of rows that repeat an id, one."""
     found = near_duplicates(docs, distance, words, seed, id_col, text_col)
