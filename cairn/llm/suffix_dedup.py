@@ -20,11 +20,14 @@ Nulls count as empty texts. Repeated rows are each other's copies. Other columns
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,9 @@ LENGTH = 400
 LEAD = 160
 #: Contexts of one leading string that a bucket may hold.
 CROWD = 20_000
+#: Letters that stand for a word; words are parted by ASCII white space, as bytes.split() does.
+CODE = 8
+_WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
 #: Bytes hashed at once; a power of two.
 BUFFER = 1 << 20
 
@@ -279,9 +285,22 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
     return cover.groupBy("uid", "th").agg(F.collect_set("span").alias("cover"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), keep_text: bool = False) -> DataFrame:
+def coded(docs: DataFrame) -> DataFrame:
+    """docs(uid, th, text) with each word as CODE letters of its hash: words, not bytes, are what windows then count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_digest
+        for b in batches:
+            out = [base64.b64encode(b"".join([digest(w)[:6] for w in t.encode().split()])).decode() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("th"), pa.array(out, pa.string())], names=["uid", "th", "text"])
+
+    return docs.mapInArrow(run, "uid long, th long, text string")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), keep_text: bool = False, words: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, columns of keep]) of every row.
 
+    words: what `words` successive words cover that also stand elsewhere, however short and whatever white space parts them, goes too.
     kept_text: the remaining bytes as text; of a character that is removed in part, the rest goes too.
     """
     text_batches(docs.sparkSession)
@@ -289,16 +308,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crow
     named = named.withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")).withColumn("th", F.xxhash64("text", F.lit("text")))
     cover = repeated(named.select("uid", "th", "text"), length, lead, crowd)
     rest = [c for c in named.columns if c not in ("doc_id", "text", "uid", "th")]
-    base = named.join(cover, ["uid", "th"], "left").select("doc_id", "text", "cover", *rest)
+    base = named.join(cover, ["uid", "th"], "left")
+    if words:
+        # The leading string is two fifths of a window, as LEAD is of LENGTH, in whole words.
+        said = repeated(coded(named.select("uid", "th", "text")), CODE * words, CODE * max(1, 2 * words // 5), crowd)
+        base = base.join(said.withColumnRenamed("cover", "said"), ["uid", "th"], "left")
+    base = base.select("doc_id", "text", "cover", *["said"] * bool(words), *rest)
     kinds = {f.name: f for f in base.schema.fields}
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], *[[]] * keep_text]
-            for text, cover_ in zip(b.column("text").to_pylist(), b.column("cover").to_pylist()):
+            said = b.column("said").to_pylist() if words else [None] * b.num_rows
+            for text, cover_, said_ in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), said):
                 body = text.encode()
-                gone = spans([(x["a"], x["b"]) for x in cover_ or ()])
+                found = [(x["a"], x["b"]) for x in cover_ or ()]
+                if said_:
+                    at = [m.span() for m in _WORD.finditer(body)]
+                    found += [(at[-(-x["a"] // CODE)][0], at[x["b"] // CODE - 1][1]) for x in said_]
+                gone = spans(found)
                 kept, at = [], 0
                 for x, y in gone:
                     kept.append(body[at:x])
