@@ -176,7 +176,10 @@ def first_of_each(rooted: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, distance: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose id is the smallest of their component; of rows that repeat an id, one."""
-    found = near_duplicates(docs, distance, words, seed, id_col, text_col)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    return docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads["head"]), "left_semi").dropDuplicates([id_col])
+    """One row of each component, all columns as they are: the one with the smallest id. Rows of different components stay, whatever their ids."""
+    named = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = stored(prints(named, words, seed, "_row", text_col).select(F.col("doc_id").alias("_row"), "fp"))
+    parts = components(links(own.select("fp").distinct(), distance))
+    ids = named.select("_row", F.col(id_col).cast("long").alias("id"))
+    rooted = own.join(ids, "_row").join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("_row", "id", F.coalesce("root", "fp").alias("root"))
+    return named.join(first_of_each(rooted), "_row", "left_semi").select(*docs.columns)
