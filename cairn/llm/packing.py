@@ -17,8 +17,11 @@ import json
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from .common import partitions, stored, text_batches, texts
 #: Words remembered for each worker before the memory is dropped and begun anew.
 REMEMBER = 500_000
 #: Nodes that the search may visit before it returns the best plan met.
-NODES = 4_000
+NODES = 20_000
 
 
 #: Fixed value: the split of words that the supported tokenizer files make after lower-casing.
@@ -131,10 +134,23 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def fillings(left: np.ndarray, big: int, size: int, allowed: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Fillings of one to three lengths around `big`, and the best-fit one of any number, least waste first, undominated: no part could be a length that is there and longer by no more than the waste.
+def _short(have: np.ndarray, lengths: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """Fillings of one or two lengths that leave nothing, which arrays find at once: what fillings() tries first."""
+    fits = np.zeros(room + 1, np.int64)
+    fits[lengths] = lengths
+    if fits[room]:
+        yield (room,)
+    b = room - lengths
+    good = (b > 0) & (b <= lengths) & (fits[b] > 0)
+    for n, m in zip(lengths[good].tolist(), b[good].tolist()):
+        if n != m or have[n] > 1:
+            yield n, m
+
+
+def fillings(left: np.ndarray, big: int, size: int, allowed: int) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling around `big` of any number of parts, least waste first: no part more would fit, and none could be a length that is left and longer by no more than the waste.
 
-    left: how many there are of each length; `allowed`: waste beyond which a filling cannot be part of a better solution; `most`: fillings returned.
+    left: how many there are of each length; `allowed`: waste beyond which a filling cannot be part of a better solution.
     """
     room = size - big
     have = left[: room + 1].copy()
@@ -143,49 +159,69 @@ def fillings(left: np.ndarray, big: int, size: int, allowed: int, most: int = 8)
     lengths = np.flatnonzero(have > 0)[::-1]
     lengths = lengths[lengths > 0]
     if not len(lengths):
-        return [()] if room <= allowed else []
-    fits = np.zeros(room + 1, np.int64)
-    fits[lengths] = lengths
-    largest = np.maximum.accumulate(fits)  # the largest length that fits into each room
-    b = largest[room - lengths]
-    pairs = np.stack([lengths, b, np.zeros_like(b)], axis=1)[(b > 0) & (b <= lengths)]
-    found = [np.array([[largest[room], 0, 0]]), pairs]
-    if not len(pairs) or pairs.sum(axis=1).max() < room:
-        # No pair fills the room: for each first part the longest second parts that leave room, and what fits then.
-        first = np.searchsorted(-lengths, -np.minimum(lengths, room - lengths))[:, None] + np.arange(64)
-        second = np.where(first < len(lengths), lengths[np.minimum(first, len(lengths) - 1)], 0)
-        rest = room - lengths[:, None] - second
-        third = np.where((second > 0) & (rest >= 0), largest[np.maximum(rest, 0)], 0)
-        good = (third > 0) & (third <= second)
-        found.append(np.stack([np.broadcast_to(lengths[:, None], second.shape)[good], second[good], third[good]], axis=1))
-    parts = np.concatenate(found)
-    waste = room - parts.sum(axis=1)
-    parts, waste = parts[waste <= allowed], waste[waste <= allowed]
-    order = np.lexsort((-parts[:, 0], (parts > 0).sum(axis=1), waste))
-    out: list[tuple[int, ...]] = []
-    # Best fit with as many parts as it takes.
-    chain, use, gap = [], {}, room
-    while gap:
-        n = int(largest[gap])
-        while n and use.get(n, 0) >= have[n]:
-            n = int(largest[n - 1])
-        if not n:
-            break
-        chain.append(n)
-        use[n] = use.get(n, 0) + 1
-        gap -= n
-    if len(chain) > 3 and gap <= allowed:
-        out.append(tuple(chain))
-    for i in order[: 16 * most].tolist():
-        rest = tuple(int(n) for n in parts[i] if n)
-        w = int(waste[i])
-        enough = all(have[n] >= rest.count(n) for n in rest)
-        better = w and any(largest[min(n + w, room)] > n and largest[min(n + w, room)] not in rest for n in rest)
-        if enough and not better and rest not in out:
-            out.append(rest)
-            if len(out) == most:
-                break
-    return sorted(out, key=lambda f: room - sum(f))
+        if room <= allowed:
+            yield ()
+        return
+    seen = set()
+    for filling in _short(have, lengths, room):
+        seen.add(filling)
+        yield filling
+    # Bit r of reach[i]: lengths[i:], as often as they are there, can fill r.
+    order, many = lengths.tolist(), have.tolist()
+    reach, full = [1], (1 << room + 1) - 1
+    for n in reversed(order):
+        bits, c, step = reach[-1], min(many[n], room // n), 1
+        while c:
+            step = min(step, c)
+            bits |= bits << n * step & full
+            c -= step
+            step *= 2
+        reach.append(bits)
+    reach.reverse()
+
+    # What is longer by no more than the waste must be used up where a part is taken: by gaps, or by the parts before it.
+    gaps = np.r_[room + 1, lengths[:-1] - lengths[1:]]
+    used: dict[int, int] = {}
+
+    def longer(n: int, waste: int, j: int) -> bool:
+        while j and order[j - 1] <= n + waste:
+            j -= 1
+            if many[order[j]] > used.get(order[j], 0):
+                return True
+        return False
+
+    def exact(target: int, i: int, waste: int, free: list[int]) -> Iterator[tuple[int, ...]]:
+        if not target:
+            if not longer(0, waste, len(order)):
+                yield ()
+            return
+        start = bisect_left(order, -target, i, key=neg)
+        at = bisect_left(free, start)
+        for j in chain([start] if i and start == i and (at == len(free) or free[at] != i) else [], islice(free, at, None)):
+            if not reach[j] >> target & 1:
+                return
+            n = order[j]
+            if longer(n, waste, j):
+                continue
+            for k in range(min(many[n], target // n), 0, -1):
+                if reach[j + 1] >> target - k * n & 1:
+                    used[n] = k
+                    for rest in exact(target - k * n, j + 1, waste, free):
+                        yield (n,) * k + rest
+            used.pop(n, None)
+
+    for waste in range(min(allowed, room) + 1):
+        if reach[0] >> room - waste & 1:
+            for filling in exact(room - waste, 0, waste, np.flatnonzero(gaps > waste).tolist()):
+                if filling not in seen:
+                    yield filling
+
+
+def choices(left: np.ndarray, big: int, size: int, allowed: int) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """(filling, often): each filling as often as its lengths last; then each once, after which any other may follow."""
+    for often in (True, False):
+        for filling in fillings(left, big, size, allowed):
+            yield filling, often
 
 
 def lower_bound(counts: dict[int, int], size: int) -> int:
@@ -219,8 +255,8 @@ def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list
     whole = np.zeros(size + 1, np.int64)
     for n, c in counts.items():
         whole[n] = c
-    # A depth-first search; a frame: (lengths left, sequences so far, waste so far, runs taken as a linked list, fillings not yet tried).
-    stack: list[tuple[np.ndarray, int, int, tuple | None, list | None]] = [(whole, 0, 0, None, None)]
+    # A depth-first search; a frame: (lengths left, sequences so far, waste so far, runs taken as a linked list, choices not yet tried).
+    stack: list[tuple[np.ndarray, int, int, tuple | None, Iterator | None]] = [(whole, 0, 0, None, None)]
     while stack and least > bound and spent < nodes:
         left, bins, waste, runs, todo = stack.pop()
         spent += 1
@@ -234,19 +270,24 @@ def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list
             continue
         big = int(there[-1])
         if todo is None:
-            todo = fillings(left, big, size, allowed)
-            if not todo:
-                continue  # every filling wastes more than a better solution may
-        filling, more = todo[0], todo[1:]
-        if more:
-            stack.append((left, bins, waste, runs, more))
+            todo = choices(left, big, size, allowed)
+        filling, often = next(todo, (None, None))
+        if filling is None:
+            continue
+        stack.append((left, bins, waste, runs, todo))
         use: dict[int, int] = {big: 1}
         for n in filling:
             use[n] = use.get(n, 0) + 1
         lost = size - big - sum(filling)
+        if lost > allowed:
+            continue
         times = min(int(left[n]) // k for n, k in use.items())
         if lost:
             times = min(times, max(1, allowed // lost))
+        if not often:
+            if times == 1:
+                continue
+            times = 1
         after = left.copy()
         for n, k in use.items():
             after[n] -= k * times
