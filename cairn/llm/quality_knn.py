@@ -38,7 +38,7 @@ _RUN = re.compile(r"([aA0])\1+|(.)\2{2,}")
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, runs of those collapsed; other characters as they are, three or more alike as three."""
-    classed = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    classed = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUN.sub(lambda m: m[1] or m[2] * 3, classed)
 
 
