@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_batches
+from .common import partitions, slices, stored
 
 CURVES = 24
 DIMENSIONS = 8
@@ -137,7 +137,6 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURVES, share: float = SHARE, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query (over the column `id`) holds, among all rows but itself; score is the Euclidean distance."""
     spark = vectors.sparkSession
-    text_batches(spark, 4096)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = stored(usable(vectors, id_col, vector_col))
     widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()

@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_batches, texts
+from .common import slices, texts
 
 #: Pieces, and transitions, remembered for each worker before the memory is dropped and begun anew.
 REMEMBER = 500_000
@@ -253,12 +253,11 @@ def codec(path: str, pattern: str) -> ByteBPE:
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, complete[, ids]) of every whole text; complete: the ids end with a complete character. No shuffle."""
-    text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, complete boolean" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[], [], [], [], []]
             cut = [bpe.pattern.findall(t) for t in b.column("text").to_pylist()]
             bpe.learn(set().union(*cut))

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.sources.tables import spread
 
-#: Rows in an Arrow batch of texts: memory in a worker is this times the text size.
+#: Rows, and bytes, that are worked on at a time. Spark bounds the bytes of the batches that it sends (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB
+#: unless set otherwise); what is made of them in a worker is bounded here.
 TEXT_BATCH = 256
+TEXT_BYTES = 8 << 20
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound the rows that one Arrow batch carries, so that long texts cannot fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key) or 0)
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into parts of at most `rows` rows and about `size` bytes (one row at least). The session's settings stay as they are."""
+    for b in batches:
+        step = max(1, min(rows, int(size * b.num_rows / max(b.nbytes, 1)))) if b.num_rows else 1
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null: str | None = "") -> DataFrame:
@@ -35,13 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session names it; a local one only where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir as the session names it. A folder of this machine is made only where none is named and the master is local; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -52,11 +58,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As checkpointed(), but as compressed Parquet, read back with column pruning."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    """As checkpointed(), but as compressed Parquet, read back with column pruning. The folder goes with forget(), or when the driver ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/cairn-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the folders of frames from stored() that nothing reads any more."""
+    for f in frames:
+        fs, folder = _folder(f.sparkSession, f.stored_at)
+        fs.delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

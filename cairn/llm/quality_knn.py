@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches, texts
+from .common import slices, stored, texts
 
 TERMS = 1024
 _REPEAT, _LINES, _SHORT = TERMS - 3, TERMS - 2, TERMS - 1
@@ -106,7 +106,6 @@ def build(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS)
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", each: int = SAMPLE, dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most `each` labelled documents of either class, by hash of doc_id; the driver holds 2 x each x TERMS numbers at most."""
-    text_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
     if learn is not None:
         known = known.where(learn)
@@ -114,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
     rows = texts(docs, id_col, text_col).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, value = [], []
             for text in b.column("text").to_pylist():
                 c = TERMS_OF.counts(text)
@@ -131,11 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
 
 def score(docs: DataFrame, model: Model, least: float = 0.3, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every whole text. No shuffle."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             body = b.column("text").to_pylist()
             s = shared.value.vote(np.stack([TERMS_OF.counts(t) for t in body]), k) if body else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_batches
+from .common import partitions, slices, stored
 
 LENGTH = 400
 LEAD = 160
@@ -303,7 +303,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crow
     words: what `words` successive words cover that also stand elsewhere, however short and whatever white space parts them, goes too.
     kept_text: the remaining bytes as text; of a character that is removed in part, the rest goes too.
     """
-    text_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in keep if c not in (id_col, text_col)))
     named = named.withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")).withColumn("th", F.xxhash64("text", F.lit("text")))
     cover = repeated(named.select("uid", "th", "text"), length, lead, crowd)

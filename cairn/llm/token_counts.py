@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches, texts
+from .common import slices, texts
 
 MARK = "▁"
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
@@ -240,11 +240,10 @@ def counter(path: str) -> PieceCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text. No shuffle; the vocabulary is read by each worker from model_path."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path).count
-        for b in batches:
+        for b in slices(batches):
             batch = b.column("text").to_pylist()
             n = count(batch)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in batch], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
