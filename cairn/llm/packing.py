@@ -20,7 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 from operator import neg
 
 import numpy as np
@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_batches, texts
+from .common import partitions, slices, stored, texts
 
 #: Words remembered for each worker before the memory is dropped and begun anew.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 #: Nodes that the search may visit before it returns the best plan met.
 NODES = 20_000
 
@@ -44,7 +44,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordIds:
     """Token ids of texts by a tokenizer file that normalises by NFC and lower case, splits by WORDS and drops white space.
 
-    Each white-space separated word is looked up; a new one is split and each new part of it encoded once by the library.
+    Each white-space separated word is looked up; new ones of a batch are split, and their new parts encoded by the library in
+    one string, in which every part ends with the one token that bears the suffix of word ends.
     Words for which that could differ (special strings, characters that NFC or lower-casing treat by context) go to the library whole.
     """
 
@@ -57,20 +58,42 @@ class WordIds:
         if kinds != ["NFC", "Replace", "Lowercase"] or said["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": WORDS}:
             raise ValueError("the tokenizer file does not normalise and split as expected")
         self.special = re.compile("|".join(re.escape(x["content"]) for x in said["added_tokens"]) or "(?!)")
+        suffix, vocab = said["model"]["end_of_word_suffix"], said["model"]["vocab"]
+        self.ends = np.zeros(max([*vocab.values(), *(x["id"] for x in said["added_tokens"])]) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.tokenizer, self.split, self.seen, self.parts = Tokenizer.from_file(path), regex.compile(WORDS), {}, {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
 
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, 2048 of them encoded as one string."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 2048):
+            some = parts[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self._whole(some)
+        return out
+
     def ids(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.encode().split() for t in batch]
         if len(self.seen) > REMEMBER:
             self.seen.clear()
-        if len(self.parts) > REMEMBER:
             self.parts.clear()
-        plain, whole = {}, []
-        for raw in set().union(*cut).difference(self.seen):
+        known = self.seen.__contains__
+        easy, odd = set(), set()
+        for text, words in zip(batch, cut):
+            (easy if text.isascii() and not self.special.search(text) else odd).update(filterfalse(known, words))
+        plain, whole = dict.fromkeys(easy), []
+        for raw in plain:
+            plain[raw] = self.split.findall(raw.decode().lower())
+        for raw in odd.difference(easy):
             word = raw.decode()
             if not (raw.isascii() or unicodedata.is_normalized("NFC", word) and "\u03a3" not in word) or self.special.search(word):
                 whole.append((raw, word))
@@ -80,7 +103,7 @@ class WordIds:
         self.parts.update(zip(new, self._encode(new)))
         get = self.parts.__getitem__
         self.seen.update((raw, b"".join(map(get, parts))) for raw, parts in plain.items())
-        self.seen.update(zip((raw for raw, _ in whole), self._encode([word for _, word in whole])))
+        self.seen.update(zip((raw for raw, _ in whole), self._whole([word for _, word in whole])))
         get = self.seen.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
@@ -95,12 +118,11 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the separator, cut into pieces of at most `size`."""
-    text_batches(docs.sparkSession)
     tail = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             of, piece, start, length, crc = [], [], [], [], []
             for row, raw in enumerate(words.ids(b.column("text").to_pylist())):
                 raw += tail
