@@ -2,22 +2,25 @@
 
 Learning. Labelled documents (a bounded sample of them, `sample` of each class) give counts of words and of word beginnings by
 class. Their log-odds are taken with an informative Dirichlet prior (the pooled counts, scaled to `prior` pseudo-counts);
-those whose z-score reaches `least_z` keep their log-odds, at most `features` of them, and all other words share one
-negative score, so that the expected score of clean text is negative.
-
-Scoring. A linear scan (Ruzzo and Tompa) finds every maximal-scoring segment of the whole text. For random clean text the
-best segment follows an extreme-value law: a segment of score s among n words is expected K n exp(-lambda s) times, with
-lambda from the clean score distribution and K from the clean sample's maxima. The evidence of significant segments is
-summed, and a logistic curve fitted to the learning rows turns it into a probability.
-
-Null and empty texts have no segment and score as the curve says for none (low). Rows that repeat each give a row;
-labels that repeat a doc_id count once (the higher); other columns are ignored. Without both classes of labels every score is 0.
+those whose z-score reaches `least_z`, in either direction, keep their log-odds, at most `features` of each, and all other
+words share one negative score, so that the expected score of clean text is negative.
+
+Scoring. The scores of all words of a whole text are summed along it. Between two new minima of that sum the maximal-scoring
+segments (Ruzzo and Tompa) are independent of the rest, and none scores higher than the sum rises there: a linear scan by
+arrays finds the highest segment and the stretches that can hold a significant one, and the segments are built in those alone.
+For random clean text the best segment follows an extreme-value law: a segment of score s among n words is expected
+K n exp(-lambda s) times, with lambda from the clean score distribution and K from the clean sample's maxima. The evidence of
+significant segments is summed, and a logistic curve fitted to the learning rows turns it into a probability.
+
+Words are what stands between ASCII characters that are no letters, lower-cased. Null and empty texts have no segment and score
+as the curve says for none (low). Rows that repeat each give a row; labels that repeat a doc_id count once (the higher); other
+columns are ignored. Where labels lack a class, or none of them has a document, the curve stays flat and low: every score is 0
+to twenty digits (1 / (1 + e^50)), and nothing is rejected.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,22 +30,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches, texts
+from .common import slices, stored, texts
 
-WORD = re.compile(r"[^\W\d_]+")
+#: ASCII characters that are no letters, to spaces.
+PARTS = bytes(b if b > 127 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 #: Lengths of word beginnings that count as tokens beside whole words.
 STEMS = (4, 5, 6)
-#: Labelled documents of each class that the model is fitted on at most; features kept at most.
+#: Labelled documents of each class that the model is fitted on at most; features of each direction kept at most.
 SAMPLE = 8000
 FEATURES = 20_000
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 #: Pseudo-count of every token beside its share of the pooled prior; occurrences in one document that count.
 FLAT = 0.5
 OFTEN = 3
+#: Log-odds are kept between these.
+MOST, LEAST = 8.0, -2.0
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(PARTS).split()
+
+
+def tokens(word: bytes) -> list[str]:
+    said = word.decode("utf-8", "ignore")
+    return [said, *("^" + said[:k] for k in STEMS if len(said) >= k)]
 
 
-def tokens(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in STEMS if len(word) >= k)]
+class Weights(dict):
+    """Word to score, worked out when a word is first met."""
+
+    def __init__(self, weights: dict[str, float], other: float):
+        self.weights, self.other = weights, other
+
+    def __missing__(self, word: bytes) -> float:
+        known = [x for t in tokens(word) if (x := self.weights.get(t)) is not None]
+        most = max(known, default=self.other)
+        self[word] = out = most if most > 0 else min([self.other, *known])
+        return out
 
 
 @dataclass
@@ -54,61 +78,69 @@ class Model:
     curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)
 
     def __post_init__(self):
-        self.seen: dict[str, float] = {}
+        self.seen = Weights(self.weights, self.other)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
     def __setstate__(self, state):
-        self.__dict__ = state | {"seen": {}}
-
-    def weight(self, word: str) -> float:
-        """The log-odds of the word or of the beginning that says most; 0 where none is known."""
-        return max((self.weights.get(t, 0.0) for t in tokens(word)), default=0.0)
+        self.__dict__ = dict(state)
+        self.__post_init__()
 
-    def segments(self, words: list[str]) -> list[tuple[float, int, int]]:
-        """All maximal-scoring segments (score, first word, end), after Ruzzo and Tompa; words without weight score `other`."""
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """Of each word: the highest log-odds of the word and its beginnings if one is positive, else the lowest, or `other` where none is known."""
         if len(self.seen) > REMEMBER:
             self.seen.clear()
-        for w in set(words).difference(self.seen):
-            self.seen[w] = self.weight(w)
-        score = list(map(self.seen.__getitem__, words))
-        stack: list[list] = []  # [sum before, sum after, first, end]
-        total, last = 0.0, 0
-        for i in np.flatnonzero(np.array(score)).tolist() if any(score) else ():
-            total += self.other * (i - last)
-            now = [total, total + score[i], i, i + 1]
-            total, last = now[1], i + 1
-            while True:
-                at = len(stack) - 1
-                while at >= 0 and stack[at][0] >= now[0]:
-                    at -= 1
-                if at < 0 or stack[at][1] >= now[1]:
-                    stack.append(now)
-                    break
-                now = [stack[at][0], now[1], stack[at][2], now[3]]
-                del stack[at:]
-        return [(right - left, a, b) for left, right, a, b in stack]
-
-    def each(self, segs: list[float], n: int) -> list[float]:
-        """lambda s - ln(K n) of segments with scores s among n words: minus the logarithm of how many clean text would have."""
-        bar = math.log(self.size * max(n, 1))
-        return [self.rate * s - bar for s in segs]
-
-    def evidence(self, segs: list[float], n: int) -> tuple[float, float]:
-        """(of the best segment, summed over significant ones)."""
-        each = self.each(segs, n)
-        return min(max(each, default=-5.0), 60.0) if each else -5.0, math.log1p(sum(x for x in each if x > 0))
-
-    def probability(self, segs: list[float], n: int) -> float:
+        return np.fromiter(map(self.seen.__getitem__, words), float, len(words))
+
+    def bar(self, n: int) -> float:
+        return math.log(self.size * max(n, 1))
+
+    def segments(self, score: np.ndarray, above: float = 0.0) -> tuple[float, list[tuple[float, int, int]]]:
+        """The highest score of a segment (0 where none is positive), and all maximal-scoring segments (score, first word, end) that score more than `above`."""
+        total = np.concatenate(([0.0], np.cumsum(score)))
+        rise = total - np.minimum.accumulate(total)
+        best = float(rise.max())
+        if best <= above or best <= 0:
+            return best, []
+        out: list[tuple[float, int, int]] = []
+        # A stretch begins where the sum stands at its minimum so far.
+        begin = np.flatnonzero(rise == 0)
+        high = np.maximum.reduceat(rise, begin)
+        stop = np.append(begin[1:], len(total))
+        for a, b in zip(begin[high > above].tolist(), stop[high > above].tolist()):
+            stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+            for i in (np.flatnonzero(score[a : b - 1] > 0) + a).tolist():
+                now = (total[i], total[i + 1], i, i + 1)
+                while True:
+                    at = len(stack) - 1
+                    while at >= 0 and stack[at][0] >= now[0]:
+                        at -= 1
+                    if at < 0 or stack[at][1] >= now[1]:
+                        stack.append(now)
+                        break
+                    now = (stack[at][0], now[1], stack[at][2], now[3])
+                    del stack[at:]
+            out += [(float(right - left), x, y) for left, right, x, y in stack if right - left > above]
+        return best, out
+
+    def evidence(self, score: np.ndarray) -> tuple[float, float, int]:
+        """(of the best segment, summed over those expected less than once, how many are expected fewer than 0.05 times): lambda s - ln(K n) of each, minus the logarithm of how many clean text would have."""
+        bar = self.bar(len(score))
+        best, segs = self.segments(score, max(bar / self.rate, 0.0))
+        each = [x for s, _, _ in segs if (x := self.rate * s - bar) > 0]
+        first = min(max(self.rate * best - bar, -5.0), 60.0) if best > 0 else -5.0
+        return first, math.log1p(sum(each)), sum(x > 3 for x in each)
+
+    def probability(self, best: float, total: float) -> float:
         a, b, c = self.curve
-        best, total = self.evidence(segs, n)
-        return 1 / (1 + math.exp(-max(min(a + b * max(best, -5.0) + c * total, 500.0), -500.0)))
+        return 1 / (1 + math.exp(-max(min(a + b * best + c * total, 500.0), -500.0)))
 
     def passages(self, text: str, most: float = 0.05) -> list[tuple[int, int, float]]:
         """(first word, end, expected number) of the segments expected fewer than `most` times in clean text of this length."""
-        words = WORD.findall(text.lower())
-        expected = ((a, b, self.size * len(words) * math.exp(-self.rate * s)) for s, a, b in self.segments(words))
+        score = self.scores(words_of(text))
+        bar = self.bar(len(score))
+        expected = ((a, b, math.exp(bar - self.rate * s)) for s, a, b in self.segments(score)[1])
         return [x for x in expected if x[2] < most]
 
 
@@ -148,14 +180,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None,
 
 
 def learn_weights(rows: DataFrame, prior: float, least_z: float, features: int) -> dict[str, float]:
-    """Log-odds with Dirichlet priors of at most `features` tokens, highest z-score first. Counts are summed by Spark; only what is kept goes to the driver."""
+    """Log-odds with Dirichlet priors of at most `features` tokens of either sign, highest z-score first. Counts are summed by Spark; only what is kept goes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             by: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 own: Counter = Counter()
-                words = WORD.findall(text.lower())
+                words = words_of(text)
                 for w, k in Counter(words).items():
                     for t in tokens(w):
                         own[t] += k
@@ -172,55 +204,60 @@ def learn_weights(rows: DataFrame, prior: float, least_z: float, features: int)
     a = F.lit(FLAT) + prior * (F.col("x") + F.col("y")) / (n1 + n0)
     odds = F.log((F.col("y") + a) / (n1 + prior - F.col("y"))) - F.log((F.col("x") + a) / (n0 + prior - F.col("x")))
     z = odds / F.sqrt(1 / (F.col("y") + a) + 1 / (F.col("x") + a))
-    kept = summed.where("token <> ''").select("token", odds.alias("odds"), z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "token").limit(features)
-    return {r["token"]: min(r["odds"], 8.0) for r in kept.collect()}
+    known = summed.where("token <> ''").select("token", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= least_z)
+    kept = [known.where(F.col("z") * sign > 0).orderBy(F.desc(F.abs("z")), "token").limit(features).collect() for sign in (1, -1)]
+    return {r["token"]: round(min(max(r["odds"], LEAST), MOST), 3) for r in kept[0] + kept[1]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", each: int = SAMPLE, prior: float = 500.0, least_z: float = 3.0, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most `each` labelled documents of either class (all of them where there are fewer)."""
+    """A model from at most `each` labelled documents of either class (all of them where there are fewer). The driver gets a few numbers of each, and the frequency of each distinct score."""
     spark = docs.sparkSession
-    text_batches(spark)
-    rows = stored(sample(docs, labels, label, learn, each, id_col, text_col))
+    rows = stored(sample(docs, labels, label, learn, each, id_col, text_col)).select("text", "label")
     model = Model(learn_weights(rows, prior, least_z, features))
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, segs, hits = [], [], []
-            for text in b.column("text").to_pylist():
-                words = WORD.findall(text.lower())
-                segs.append([s for s, _, _ in shared.value.segments(words)])
-                hits.append([x for w in words if (x := shared.value.seen[w])])
-                n.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n, pa.int64()), pa.array(segs, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.float64()))], names=["label", "n", "segs", "hits"])
-
-    found = rows.select("text", "label").mapInArrow(measure, "label int, n long, segs array<double>, hits array<double>").collect()  # numbers of at most 2 x each documents
-    clean = [r for r in found if not r["label"]]
-    if not model.weights or not clean:
+    if not model.weights:
         return model
-    freq: Counter = Counter()
-    for r in clean:
-        freq.update(r["hits"])
-        freq[model.other] += r["n"] - len(r["hits"])
-    calibrate(model, [(max(r["segs"], default=0.0), r["n"]) for r in clean], freq)
-    shape = np.array([model.evidence(r["segs"], r["n"]) for r in found])
-    model.curve = tuple(logistic(shape, np.array([r["label"] for r in found], float)).tolist())
+
+    def measured(run, schema: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model)
+
+        def each_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield run(shared.value, b.column("label"), [shared.value.scores(words_of(t)) for t in b.column("text").to_pylist()])
+
+        return rows.mapInArrow(each_, schema)
+
+    def first(own: Model, label_: pa.Array, scored: list[np.ndarray]) -> pa.RecordBatch:
+        clean = [s for s, y in zip(scored, label_.to_pylist()) if not y]
+        value, n = np.unique(np.concatenate(clean), return_counts=True) if clean else (np.zeros(0), np.zeros(0, int))
+        freq = pa.StructArray.from_arrays([pa.array(value), pa.array(n)], names=["score", "n"])
+        # The first row of a batch bears its frequencies.
+        held = pa.ListArray.from_arrays(pa.array([0, *[len(freq)] * len(scored)], pa.int32()), freq)
+        return pa.RecordBatch.from_arrays([label_, pa.array([len(s) for s in scored], pa.int64()), pa.array([own.segments(s, math.inf)[0] for s in scored], pa.float64()), held], names=["label", "n", "best", "freq"])
+
+    def second(own: Model, label_: pa.Array, scored: list[np.ndarray]) -> pa.RecordBatch:
+        shape = [own.evidence(s) for s in scored]
+        return pa.RecordBatch.from_arrays([label_, *(pa.array([x[i] for x in shape], pa.float64()) for i in (0, 1))], names=["label", "best", "total"])
+
+    found = stored(measured(first, "label int, n long, best double, freq array<struct<score: double, n: long>>"))
+    clean = [(r["best"], r["n"]) for r in found.where("label = 0").select("best", "n").collect()]  # at most `each` rows
+    freq = {r["score"]: r["n"] for r in found.select(F.explode("freq").alias("x")).groupBy("x.score").agg(F.sum("x.n").alias("n")).collect()}  # as many as there are distinct weights
+    calibrate(model, clean, freq)
+    shape = measured(second, "label int, best double, total double").collect()  # three numbers of at most 2 x each documents
+    model.curve = tuple(logistic(np.array([(r["best"], r["total"]) for r in shape]), np.array([r["label"] for r in shape], float)).tolist())
     return model
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, n_passages) of every whole text; n_passages: segments expected fewer than 0.05 times in clean text. No shuffle."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        own = shared.value
+        for b in slices(batches):
             out, passages = [], []
             for text in b.column("text").to_pylist():
-                words = WORD.findall(text.lower())
-                segs = [s for s, _, _ in shared.value.segments(words)]
-                out.append(shared.value.probability(segs, len(words)))
-                passages.append(sum(x > 3 for x in shared.value.each(segs, len(words))))
+                best, total, n = own.evidence(own.scores(words_of(text)))
+                out.append(own.probability(best, total)), passages.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array([int(s >= least) for s in out], pa.int32()), pa.array(passages, pa.int64())], names=["doc_id", "score", "predicted", "n_passages"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, n_passages long")
@@ -228,15 +265,13 @@ def score(docs: DataFrame, model: Model, least: float = 0.7, id_col: str = "doc_
 
 def reject(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose whole text scores below `least`. No shuffle."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for text in b.column(text_col).to_pylist():
-                words = WORD.findall((text or "").lower())
-                keep.append(shared.value.probability([s for s, _, _ in shared.value.segments(words)], len(words)) < least)
+        own = shared.value
+        for b in slices(batches):
+            keep = [own.probability(*own.evidence(own.scores(words_of(text)))[:2]) < least for text in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

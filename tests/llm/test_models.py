@@ -58,15 +58,46 @@ def brute(score):
 
 
 def test_segments_are_the_maximal_ones():
+    """All maximal segments, and with a bar those above it; the best is the best of all."""
     rng = random.Random(5)
-    for _ in range(150):
-        words = [rng.choice(["aaa", "bbb", "ccc", "ddd"]) for _ in range(rng.randrange(0, 22))]
-        weights = {"aaa": 1.37, "bbb": 0.61}
-        model = Model(weights, other=-0.53)
-        score = [weights.get(w, -0.53) for w in words]
-        got = [(a, b) for s, a, b in model.segments(words) if s > 1e-12]
-        assert got == brute(score)
-        assert all(math.isclose(s, sum(score[a:b]), abs_tol=1e-9) for s, a, b in model.segments(words))
+    model = Model({"aaa": 1.37, "bbb": 0.61, "eee": -1.1}, other=-0.53)
+    for _ in range(200):
+        words = [rng.choice([b"aaa", b"bbb", b"ccc", b"ddd", b"eee"]) for _ in range(rng.randrange(0, 22))]
+        score = model.scores(words)
+        assert score.tolist() == [{b"aaa": 1.37, b"bbb": 0.61, b"eee": -1.1}.get(w, -0.53) for w in words]
+        best, found = model.segments(score)
+        assert [(a, b) for s, a, b in found if s > 1e-12] == brute(score.tolist())
+        assert all(math.isclose(s, sum(score[a:b]), abs_tol=1e-9) for s, a, b in found)
+        assert math.isclose(best, max((s for s, _, _ in found), default=0.0), abs_tol=1e-9)
+        assert model.segments(score, 1.5)[1] == [x for x in found if x[0] > 1.5]
+
+
+def test_evidence_is_of_all_significant_segments():
+    rng = random.Random(6)
+    model = Model({"aaa": 1.37, "bbb": 0.61}, other=-0.53, rate=0.9, size=0.1)
+    for n in (0, 1, 30, 300):
+        score = model.scores([rng.choice([b"aaa", b"bbb", b"ccc", b"ddd"]) for _ in range(n)])
+        best, found = model.segments(score)
+        each = [model.rate * s - math.log(model.size * max(n, 1)) for s, _, _ in found]
+        got = model.evidence(score)
+        assert math.isclose(got[0], min(max(model.rate * best - math.log(model.size * max(n, 1)), -5.0), 60.0) if best > 0 else -5.0)
+        assert math.isclose(got[1], math.log1p(sum(x for x in each if x > 0)), abs_tol=1e-9) and got[2] == sum(x > 3 for x in each)
+
+
+@pytest.mark.parametrize("labels", [[(1, 1), (2, 1)], [(1, 0)], [(900, 0), (901, 1)], [(1, None), (None, 1)]])
+@pytest.mark.parametrize("name", ["toxicity", "quality_knn"])
+def test_labels_that_teach_nothing(spark, labels, name):
+    """One class alone, ids without a document, nulls: a defined score for every row."""
+    import importlib
+
+    module = importlib.import_module(f"cairn.llm.{name}")
+    docs = spark.createDataFrame([(1, "some words here"), (2, "other words there"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    got = [r["score"] for r in module.score(docs, module.fit(docs, known, label="label")).collect()]
+    assert len(got) == 3 and len(set(got)) == 1 if name == "toxicity" else all(0 <= x <= 1 for x in got)
+    if name == "toxicity":
+        assert got[0] < 1e-20
+        assert module.reject(docs, module.fit(docs, known, label="label")).count() == 3
 
 
 def test_votes_equal_plain_cosines():
