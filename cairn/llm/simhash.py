@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_batches, texts
+from .common import components, slices, stored, texts
 
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,8 +31,17 @@ BLOCK = 4096
 HALF = 31
 
 
+def majority(raw: bytes) -> bytes:
+    """8 bytes, most significant first, of values of eight bytes each: a bit is 1 if it is set in over half of them; zero for none."""
+    bits = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(bits), 32768):
+        count += np.unpackbits(bits[i : i + 32768], axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * count > len(bits)).tobytes()
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> bytes:
-    """8 bytes, most significant first: a bit is 1 if it is set in over half the XXH64 values of the word shingles."""
+    """The majority of the XXH64 values of the word shingles."""
     cut = text.encode().translate(LOWER).split()
     if not cut:
         return bytes(8)
@@ -40,12 +49,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> bytes:
     ends = list(accumulate([len(w) + 1 for w in cut]))
     starts = [0, *ends]
     hashed = xxhash.xxh64_digest
-    raw = b"".join([hashed(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :] or ends[-1:])])
-    bits = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(bits), 32768):
-        count += np.unpackbits(bits[i : i + 32768], axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * count > len(bits)).tobytes()
+    return majority(b"".join([hashed(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :] or ends[-1:])]))
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +104,9 @@ def forest(prints: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
 
 def prints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fingerprints of whole texts as signed longs."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = b"".join(fingerprint(t, words, seed) for t in b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
