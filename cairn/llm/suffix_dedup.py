@@ -10,12 +10,14 @@ anchor, so equal windows share an anchor at the same place, and a suffix array o
    buckets by leading bytes; a splitter never parts equal leading strings, so no comparison crosses a boundary. A bucket
    sorts its suffixes, and the reversed texts to their left, by multikey quicksort in blocks of eight bytes; common-prefix
    lengths of neighbours give, for every offset of a window around the anchor, which windows are equal.
-   A leading string with more than `crowd` contexts is not gathered in one task: its windows are hashed, offset by offset,
-   and counted by Spark.
+   A leading string with more than `crowd` contexts would fill one task: its contexts are dealt over all tasks, their windows
+   named by hash, offset by offset, and counted by Spark. The result is the same either way (tests hold both to all windows).
 3. Extents go back to all anchors with that context, and as intervals to their documents.
 
-Only 64-bit hashes decide that contexts are equal within one leading string; everything else is compared by bytes.
-Nulls count as empty texts. Repeated rows are each other's copies. Other columns are ignored.
+A leading string and its context are each named by a 64-bit XXH3 of their bytes, and only two that agree in both are taken as
+equal unread; windows in a bucket are compared by bytes. The running hash that picks anchors decides nothing else.
+Nulls count as empty texts. Repeated rows are each other's copies. Other columns are ignored, whatever their names; columns to
+keep may have any name but uid, th, cover and said.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stored
+from .common import forget, partitions, slices, stored, text_batches
 
 LENGTH = 400
 LEAD = 160
@@ -86,9 +88,10 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(bodies: list[bytes], length: int, lead: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, place, key, context, left, right) of all anchors of texts: key and context are hashes of the leading string and of the context, which has `left` bytes before the place and `right` from it on."""
+    """(text, place, key, context, left, right) of all anchors of texts: key and context are XXH3 of the leading string and of the context, which has `left` bytes before the place and `right` from it on."""
     reach = length - lead
     step = BUFFER - 2 * length - 2 * reach
+    digest = xxhash.xxh3_64_intdigest
 
     def pieces() -> Iterator[tuple[int, int, int, int, int]]:
         """(text, first byte, end, first window, end of windows)."""
@@ -117,8 +120,11 @@ def anchors(bodies: list[bytes], length: int, lead: int) -> Iterator[tuple[np.nd
         inside = pos - begin[own]
         left = np.minimum(first + inside, reach)
         right = np.minimum(np.array([len(bodies[p[0]]) for p in part])[own] - first - inside, length)
-        context = hashes.of(pos - left, pos + right) ^ (left * 2654435761 + right * 40503).astype(np.uint64)
-        return text, first + inside, key[pos], context, left, right
+        at = first + inside
+        rows = list(zip([bodies[t] for t in text.tolist()], at.tolist(), left.tolist(), right.tolist()))
+        key = np.array([digest(body[i : i + lead]) for body, i, _, _ in rows], np.uint64)
+        context = np.array([digest(body[i - x : i + y], x) for body, i, x, y in rows], np.uint64)
+        return text, at, key, context, left, right
 
     part, size = [], 0
     for p in pieces():
@@ -206,7 +212,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
     wide = "uid long, th long, place long, key long, context long, left int, right int"
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for text, place, key, context, left, right in anchors([t.encode() for t in b.column("text").to_pylist()], length, lead):
                 of = np.unique(np.stack([text, place]), axis=1, return_index=True)[1]  # segments of a long text share anchors
                 at = pa.array(text[of])
@@ -216,12 +222,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
     # Stored, so that the join below deals both sides anew and can split a leading string that very many texts share.
     keys = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1"))
     members = stored(found.join(keys, "key").withColumn("plain", F.col("low") == F.col("high")).drop("n", "low", "high"))
+    forget(found, keys)
     several = members.where("not plain")
     kinds = several.groupBy("key", "context").agg(F.count("*").alias("m"), F.min(F.struct("uid", "th", "place", "left", "right")).alias("at"))
     want = kinds.groupBy("at.uid", "at.th").agg(F.collect_list(F.struct("at.place", "at.left", "at.right", "key", "context", "m")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for text, want_ in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
                 body = text.encode()
@@ -231,7 +238,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "context", "m", "left", "head", "body"])
 
     contexts = stored(docs.join(want, ["uid", "th"]).select("text", "want").mapInArrow(fetch, "key long, context long, m long, left int, head binary, body binary"))
-    crowds = contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+    # Stored: the planner sees how few there are before it joins, and a join that deals both sides anew can split a hot key.
+    crowds = stored(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -265,15 +273,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
             yield done(pa.Table.from_batches(held))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
             for key, context, left, body in zip(*(b.column(c).to_pylist() for c in ("key", "context", "left", "body"))):
-                x = Hashes(np.frombuffer(body, np.uint8))
                 o = np.arange(max(0, left + length - len(body)), left + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), key)), pa.array(np.full(len(o), context)), pa.array(o), signed(x.of(left - o, left - o + length))], names=["key", "context", "o", "window"])
+                named = np.array([digest(body[i : i + length]) for i in (left - o).tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), key)), pa.array(np.full(len(o), context)), pa.array(o), signed(named)], names=["key", "context", "o", "window"])
 
     few = contexts.join(crowds, "key", "left_anti").repartitionByRange(partitions(spark), "head", "key").sortWithinPartitions("head", "key", "context")
     near = few.select("key", "context", "m", "left", "body").mapInArrow(solve, "key long, context long, a long, b long")
-    many = contexts.join(crowds, "key", "left_semi")
+    many = contexts.join(crowds, "key", "left_semi").repartition("key", "context")
     each = many.where("m = 1").select("key", "context", "left", "body").unionByName(many.where("m > 1").select("key", "context", "left", "body")).mapInArrow(windows, "key long, context long, o long, window long")
     twice = each.groupBy("key", "o", "window").agg(F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high").select("key", "o", "window")
     crowded = each.join(twice, ["key", "o", "window"]).groupBy("key", "context").agg(F.max("o").alias("a"), (F.lit(length) - F.min("o")).alias("b"))
@@ -290,22 +299,25 @@ def coded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_digest
-        for b in batches:
+        for b in slices(batches):
             out = [base64.b64encode(b"".join([digest(w)[:6] for w in t.encode().split()])).decode() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("th"), pa.array(out, pa.string())], names=["uid", "th", "text"])
 
     return docs.mapInArrow(run, "uid long, th long, text string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), keep_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), keep_text: bool = False, words: int | None = None, long_word: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, columns of keep]) of every row.
 
     words: what `words` successive words cover that also stand elsewhere, however short and whatever white space parts them, goes too.
+    long_word: strings of `length` bytes are then looked for only in texts that hold a word of so many bytes; in others words say as much.
     kept_text: the remaining bytes as text; of a character that is removed in part, the rest goes too.
     """
+    text_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in keep if c not in (id_col, text_col)))
     named = named.withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")).withColumn("th", F.xxhash64("text", F.lit("text")))
-    cover = repeated(named.select("uid", "th", "text"), length, lead, crowd)
+    by_bytes = named.where(F.col("text").rlike(r"[^\x20\x09-\x0D]{%d}" % long_word)) if words and long_word else named
+    cover = repeated(by_bytes.select("uid", "th", "text"), length, lead, crowd)
     rest = [c for c in named.columns if c not in ("doc_id", "text", "uid", "th")]
     base = named.join(cover, ["uid", "th"], "left")
     if words:
@@ -317,8 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crow
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", `{c}` {kinds[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], *[[]] * keep_text]
+        for b in slices(batches):
+            out: list[list] = [[], [], [], [], [], []]
             said = b.column("said").to_pylist() if words else [None] * b.num_rows
             for text, cover_, said_ in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), said):
                 body = text.encode()
@@ -332,9 +344,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crow
                     kept.append(body[at:x])
                     at = y
                 kept = b"".join([*kept, body[at:]])
-                for col, x in zip(out, (len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
+                for col, x in zip(out, (len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)):
                     col.append(x)
-            cols = [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))]
+            cols = [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out[: 5 if keep_text else 4], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 6 if keep_text else 5]
             yield pa.RecordBatch.from_arrays([*cols, *(b.column(c) for c in rest)], names=[*names, *rest])
 
