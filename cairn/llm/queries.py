@@ -109,7 +109,9 @@ def _found(kind: str, place: int, pattern: str, group: int, least: int) -> str:
 
 
 def _secrets_sql() -> str:
-    kinds = [("assign", _ASSIGN, 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1)]
+    from .secrets import PEM
+
+    kinds = [("assign", _ASSIGN, 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("pem", PEM, 0, 1)]
     union = " UNION ALL ".join(_found(k, i, p, g, n) for i, (k, p, g, n) in enumerate(kinds))
     line = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord)"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({union}),

@@ -19,7 +19,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import partitions, stored, texts
 
 
 @dataclass(frozen=True)
@@ -36,36 +36,40 @@ class Rule:
     base: bool = True
 
 
+#: A private key from its first line to its last; where that is missing, to the end of the encoded block.
+PEM = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x20\x09-\x0D-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=]{16,})*)"
+
 #: The base rules in the order in which kinds are listed, then one that the engine adds.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, gates=("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", r"AKIA[A-Z0-9]+", 16, gates=("akia",)),
     Rule("hex", r"[0-9a-f]+", 32, gate=r"[0-9a-f]{32}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1, gates=("private key-----",), base=False),
+    Rule("pem", PEM, 1, gates=("private key-----",), base=False, version=2),
 )
 
 
-def _gate(rule: Rule, text: Column, low: Column) -> Column:
-    tests = [low.contains(word) for word in rule.gates] + ([text.rlike(rule.gate)] if rule.gate else [])
-    return reduce(or_, tests)
+def gates(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The kinds of the rules that a text may match; none for a null text."""
+    low = F.lower(text)
+    tests = lambda r: [low.contains(word) for word in r.gates] + ([text.rlike(r.gate)] if r.gate else [])
+    return F.filter(F.array(*(F.when(reduce(or_, tests(r)), F.lit(r.kind)) for r in rules)), lambda k: k.isNotNull())
 
 
 def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, start, end) of blobs(blob, text, kinds): each blob is scanned by the kinds that it lists."""
-    found = []
-    for rule in rules:
-        body = F.col("text")
-        cut = blobs.where(F.array_contains("kinds", rule.kind)).select(
-            "blob",
-            F.transform(F.split(body, rule.pattern, -1), F.length).alias("gaps"),
-            F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)), F.length).alias("sizes"),
-            F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(rule.group)), F.length).alias("parts"),
-        )
-        each = cut.select("blob", F.posexplode(F.arrays_zip("gaps", "sizes", "parts")).alias("at", "x")).select("blob", "at", F.col("x.gaps").alias("gap"), F.col("x.sizes").alias("size"), F.col("x.parts").alias("part"))
-        upto = Window.partitionBy("blob").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ended = each.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(upto))
-        found.append(ended.where(F.col("part") >= rule.least).select("blob", F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), (F.col("end") - F.col("size")).alias("start"), "end"))
-    return reduce(DataFrame.unionByName, found)
+    """(blob, kind, version, start, end) of blobs(blob, text, kinds): each blob is scanned by the kinds that it lists, all of them in one pass."""
+    body = F.col("text")
+
+    def cut(rule: Rule) -> Column:
+        gaps = F.transform(F.split(body, rule.pattern, -1), F.length)
+        sizes, parts = (F.transform(F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(g)), F.length) for g in (0, rule.group))
+        said = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"), F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), parts.alias("part")).alias("parts"))
+        return F.when(F.array_contains("kinds", rule.kind), said)
+
+    each = blobs.select("blob", F.explode(F.filter(F.array(*map(cut, rules)), lambda r: r.isNotNull())).alias("r"))
+    each = each.select("blob", "r.kind", "r.version", "r.least", F.posexplode("r.parts").alias("at", "x"))
+    upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = each.withColumn("end", F.sum(F.col("x.gap") + F.coalesce("x.size", F.lit(0))).over(upto))
+    return ended.where(F.col("x.part") >= F.col("least")).select("blob", "kind", "version", (F.col("end") - F.col("x.size")).alias("start"), "end")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -74,18 +78,19 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     ledger(blob, kind, version, spans): earlier additions; its pairs are not scanned again. A new rule version makes its pairs unseen.
     Store additions beside the ledger to make the next scan incremental.
     """
-    low = F.lower("text")
-    passes = F.filter(F.array(*(F.when(_gate(r, F.col("text"), low), F.lit(r.kind)) for r in rules)), lambda k: k.isNotNull())
-    addressed = texts(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256)).withColumn("gated", passes)
-    paths = stored(addressed.select("doc_id", "blob", "gated"))
-    wanted = paths.where(F.size("gated") > 0).groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.first("gated").alias("gated")).select("blob", "doc_id", F.explode("gated").alias("kind"))
+    # One pass addresses and gates all texts; texts that pass no gate are not kept.
+    addressed = texts(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256)).withColumn("gated", gates(F.col("text"), rules))
+    paths = stored(addressed.withColumn("text", F.when(F.size("gated") > 0, F.col("text"))))
+    some = paths.where(F.size("gated") > 0)
+    wanted = some.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.first("gated").alias("gated")).select("blob", "doc_id", F.explode("gated").alias("kind"))
     versions = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
     if ledger is not None:
         wanted = wanted.withColumn("version", versions[F.col("kind")]).join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
     unseen = wanted.groupBy("blob").agg(F.first("doc_id").alias("doc_id"), F.collect_set("kind").alias("kinds"))
-    # One path stands for its blob; of rows that repeat one doc_id and text, one is read.
-    held = addressed.where(F.size("gated") > 0).select("doc_id", "blob", "text")
-    read = held.join(unseen, held["blob"].eqNullSafe(unseen["blob"]) & held["doc_id"].eqNullSafe(unseen["doc_id"])).select(unseen["blob"], "text", "kinds").dropDuplicates(["blob"])
+    # One path stands for its blob; of rows that repeat one doc_id and text, one is read. Blobs are dealt to all tasks, whatever their size.
+    held, first = some.select("doc_id", "blob", "text").alias("held"), unseen.alias("first")
+    mine = (F.col("held.blob") == F.col("first.blob")) & F.col("held.doc_id").eqNullSafe(F.col("first.doc_id"))
+    read = held.join(first, mine).select("held.blob", "held.text", "first.kinds").dropDuplicates(["blob"]).repartition(partitions(docs.sparkSession), "blob")
     spot = F.struct(F.col("start").cast("long").alias("start"), F.element_at(F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i)))), F.col("kind")).alias("ord"), "kind", F.col("end").cast("long").alias("end"))
     found = findings(read, rules).groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(spot)).alias("spans"))
     pairs = wanted.select("blob", "kind").distinct().withColumn("version", versions[F.col("kind")])
@@ -119,20 +124,21 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
 def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with every span of a secret (overlapping ones as one) replaced by `mask` in the text.
 
-    Findings meet their texts again by blob; texts that pass no gate are left where they are.
+    Findings meet their texts again by blob; texts that pass no gate, nulls among them, are left where they are.
     """
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    _, additions = scan(docs, None, rules, id_col, text_col)
-    spans = additions.where(F.size("spans") > 0).groupBy(F.col("blob").alias("blob__")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans__"))
-    passes = reduce(or_, (_gate(r, body, F.lower(body)) for r in rules))
-    held = docs.where(passes).withColumn("blob__", F.sha2(body, 256)).join(spans, "blob__", "left")
+    body = F.col(text_col).cast("string")
+    marked = stored(docs.withColumn("_cairn_gated", F.size(gates(body, rules)) > 0))
+    some = marked.where("_cairn_gated")
+    _, additions = scan(some.select(id_col, text_col), None, rules, id_col, text_col)
+    spans = additions.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_cairn_blob")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("_cairn_spans"))
+    held = some.withColumn("_cairn_blob", F.sha2(body, 256)).join(spans, "_cairn_blob", "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
         # A span that begins inside the one before lengthens it.
-        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(gap, F.lit(mask)))).alias("parts"))
 
-    clean = F.aggregate("spans__", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(1 << 30))))
-    changed = held.withColumn(text_col, F.when(F.col("spans__").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
-    return docs.where(~passes).unionByName(changed)
+    clean = F.aggregate("_cairn_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.lit(1 << 30))))
+    changed = held.withColumn(text_col, F.when(F.col("_cairn_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    return marked.where("not _cairn_gated").select(*docs.columns).unionByName(changed)

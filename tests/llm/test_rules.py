@@ -44,6 +44,18 @@ def test_ledger_is_incremental(spark):
     assert {r["doc_id"]: len(r["spans"] or []) for r in paths.collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
 
 
+def test_private_keys_are_masked_whole(spark):
+    from cairn.llm.secrets import redact
+
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq1" * 3] * 4)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {begin}\n{body}\n{end} z"), (2, f"a {begin}\n{body}\n\nplain words follow"), (3, f"x {begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end}\n{begin}\n{body}\n{end}"), (4, f"only {begin} here")]
+    docs = spark.createDataFrame([(i, t, True, "x") for i, t in rows], "doc_id long, text string, gated boolean, blob string")
+    got = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert got == {1: "a [secret] z", 2: "a [secret]\n\nplain words follow", 3: "x [secret]\n[secret]", 4: "only [secret] here"}
+    assert redact(docs).columns == docs.columns
+
+
 def plain_print(t):
     words = SPLIT.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
