@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from cairn.sources.tables import spread
 
-#: Rows, and bytes, that are worked on at a time. Spark bounds the bytes of the batches that it sends (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB
-#: unless set otherwise); what is made of them in a worker is bounded here.
+#: Rows, and bytes, that a worker turns into Python objects at a time.
 TEXT_BATCH = 256
 TEXT_BYTES = 8 << 20
 
 
+def text_batches(spark: SparkSession, size: int = TEXT_BYTES) -> None:
+    """Bound the bytes that one Arrow batch brings to a worker, so that long texts cannot fill it. How many rows a batch may have stays as the session has it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(filter(str.isdigit, spark.conf.get(key))) or 0)
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into parts of at most `rows` rows and about `size` bytes (one row at least). The session's settings stay as they are."""
     for b in batches:
@@ -28,6 +35,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH, size: int
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null: str | None = "") -> DataFrame:
     """(doc_id, text) alone: other columns, whatever their names, are pruned at the scan; null texts count as empty."""
+    text_batches(docs.sparkSession)
     body = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (body if null is None else F.coalesce(body, F.lit(null))).alias("text"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import slices, stored, text_batches, texts
 
 #: ASCII characters that are no letters, to spaces.
 PARTS = bytes(b if b > 127 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
@@ -39,7 +39,7 @@ STEMS = (4, 5, 6)
 #: Labelled documents of each class that the model is fitted on at most; features of each direction kept at most.
 SAMPLE = 8000
 FEATURES = 20_000
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 #: Pseudo-count of every token beside its share of the pooled prior; occurrences in one document that count.
 FLAT = 0.5
 OFTEN = 3
@@ -265,6 +265,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.7, id_col: str = "doc_
 
 def reject(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose whole text scores below `least`. No shuffle."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
