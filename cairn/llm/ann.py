@@ -1,12 +1,15 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Vectors are projected to a few dimensions by parts of random rotations, shifted and quantised; a Hilbert curve orders them.
-There are several such orderings. Each is cut into zones of about equal size at splitters from a bounded sample, zones
-are dealt to tasks, and a query goes to its own zone and its neighbours on the curve. There its exact distances to all
-vectors of the window are taken in blocks, the best of each zone are kept, and windows of all curves merge and rerank.
-
-The model (centre, scales, rotations, splitters) is fitted on at most `sample` vectors; every vector is indexed. A zone
-holds `share` of all vectors, at least `least` and at most `most` of them; beyond that a query visits more zones.
+Vectors are projected to a few dimensions by random rotations that favour directions in which the vectors vary, shifted and
+quantised; a Hilbert curve orders them. There are several such orderings. Each is cut into zones of about equal size at
+splitters from sampled keys, zones are dealt to tasks, and a query goes to its own zone and its neighbours on the curve. There
+its exact distances to all vectors of the window are taken in blocks, the best of each zone are kept, and windows of all
+curves merge and rerank.
+
+The model (centre, scales, rotations) is fitted on at most `sample` vectors, splitters on as many keys or eight a zone; every
+vector is indexed. A zone holds `share` of all vectors, at least `least` and at most `most` of them: up to most / share vectors
+(5.5 million) the windows keep their share, which vectors without any structure need for a recall of 0.9; beyond, a query meets
+at most 3 x curves x most vectors, however many there are, and what a task holds stays the same.
 Of equal vectors only the k + 1 with the smallest ids can be among anyone's k nearest, so no more are indexed, and equal
 queries are searched once: a vector that a third of the table repeats costs as much as any other.
 
@@ -70,7 +73,7 @@ class Curves:
     turns: list[np.ndarray]  # of each curve: dimensions x projected
     scales: list[np.ndarray]
     shifts: list[np.ndarray]
-    splitters: list[np.ndarray]
+    splitters: list[np.ndarray]  # of each curve, empty until they are sampled
 
     def keys(self, vectors: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
         """Place on a curve; the fraction, from the id, parts vectors with one key into several zones evenly."""
@@ -85,13 +88,18 @@ class Curves:
         return np.searchsorted(self.splitters[curve], self.keys(vectors, ids, curve), "right")
 
 
-def fit(vectors: np.ndarray, ids: np.ndarray, zones: int, curves: int = CURVES, seed: int = 17) -> Curves:
+def fit(vectors: np.ndarray, curves: int = CURVES, seed: int = 17) -> Curves:
+    """Rotations, scales and shifts. Directions are drawn with the covariance of the vectors, so that those of little variance are rare; where all vary alike, as any rotation would be."""
     rng = np.random.default_rng(seed)
     width = vectors.shape[1]
     m = min(DIMENSIONS, width)
     out = Curves(vectors.mean(axis=0), [], [], [], [])
+    apart = vectors - out.centre
+    apart = apart / max(np.abs(apart).max(), 1e-300)
+    value, vector = np.linalg.eigh(apart.T @ apart / len(vectors) + 1e-12 * np.eye(width))
+    root = vector * np.sqrt(np.maximum(value, 1e-6 * value.max()))
     while len(out.turns) < curves:
-        turn = np.linalg.qr(rng.normal(size=(width, min(width, 8 * m))))[0]
+        turn = np.linalg.qr(root @ rng.normal(size=(width, min(width, 8 * m))))[0]
         for i in range(0, turn.shape[1] - m + 1, m):
             if len(out.turns) == curves:
                 break
@@ -99,12 +107,27 @@ def fit(vectors: np.ndarray, ids: np.ndarray, zones: int, curves: int = CURVES,
             spread = ((vectors - out.centre) @ out.turns[-1]).std(axis=0)
             out.scales.append(6 * np.maximum(spread, 1e-12))
             out.shifts.append(rng.random(m) * 0.5)
-    for c in range(curves):
-        key = np.sort(out.keys(vectors, ids, c))
-        out.splitters.append(key[(np.arange(1, zones) * len(key)) // zones])
     return out
 
 
+def split(rows: DataFrame, model: Curves, zones: int, every: int, width: int) -> list[np.ndarray]:
+    """Splitters of each curve into `zones` zones, by the keys of one in `every` of rows(id, v), chosen by hash. Only splitters go to the driver."""
+    if zones == 1:
+        return [np.zeros(0) for _ in model.turns]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            ids, v = b.column("id").to_numpy(), b.column("v").flatten().to_numpy().reshape(-1, width)
+            for c in range(len(shared.value.turns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(shared.value.keys(v, ids, c))], names=["curve", "key"])
+
+    keys = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "v").mapInArrow(run, "curve int, key double")
+    cuts = keys.groupBy("curve").agg(F.percentile_approx("key", [i / zones for i in range(1, zones)], max(10_000, 20 * zones)).alias("cuts")).collect()
+    found = {r["curve"]: np.array(r["cuts"]) for r in cuts}
+    return [found.get(c, np.zeros(0)) for c in range(len(model.turns))]
+
+
 def nearest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, distance) of the k nearest vectors of each query; distances of what may be among them are taken anew from differences."""
     found = []
@@ -134,7 +157,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v.cast("array<double>")).alias("v"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURVES, share: float = SHARE, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURVES, share: float = SHARE, least: int = LEAST, most: int = MOST, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query (over the column `id`) holds, among all rows but itself; score is the Euclidean distance."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -145,21 +168,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CURV
     width, n = widths[0]["w"], widths[0]["n"]
     rows = rows.where(F.size("v") == width)
     few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    size = min(max(LEAST, math.ceil(share * n)), MOST)
-    zones = max(1, min(n // size, len(few) // 8))
-    sides = max(SIDES, round(SIDES * share * n / (n / zones)))
-    model = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in few]), np.array([r["id"] for r in few], np.int64), zones, curves))
+    zones = max(1, n // min(max(least, math.ceil(share * n)), most))
+    found = fit(np.array([r["v"] for r in few]), curves)
+    found.splitters = split(rows, found, zones, max(1, n // max(sample, 8 * zones)), width)
+    model = spark.sparkContext.broadcast(found)
     # Of equal vectors the k + 1 smallest ids; equal queries once, under their smallest id.
-    least = Window.partitionBy("v").orderBy("id")
-    indexed = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).select("id", "v")
+    alike = Window.partitionBy("v").orderBy("id")
+    indexed = rows.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1).select("id", "v")
     asked = rows.where(is_query)
     heads = asked.groupBy("v").agg(F.min("id").alias("head"))
 
     def deal(kind: int):
-        reach = 0 if kind else sides
+        reach = 0 if kind else SIDES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, 4096):
                 ids = b.column("id").to_numpy()
                 v = b.column("v").flatten().to_numpy().reshape(-1, width)
                 raw = pa.array([x.tobytes() for x in v], pa.binary())
