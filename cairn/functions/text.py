@@ -62,6 +62,9 @@ def stemmed(words_: list[str]) -> list[str]:
     return sorted(out)
 
 
+_HEAVY, _MODERATE = frozenset(stemmed(HEAVY_WORDS)), frozenset(stemmed(MODERATE_WORDS))
+
+
 def terms(text: Column) -> Column:
     """Index terms of a text, repeats included."""
     drop = F.array(*(F.lit(w) for w in sorted({*STOP_WORDS, *DROPPED_WORDS})))
@@ -74,6 +77,11 @@ def idf(term: Column) -> Column:
     return F.when(term.isin(stemmed(HEAVY_WORDS)), HEAVY).when(term.isin(stemmed(MODERATE_WORDS)), MODERATE).otherwise(1.0)
 
 
+def idf_of(term: str) -> float:
+    """The same in Python."""
+    return HEAVY if term in _HEAVY else MODERATE if term in _MODERATE else 1.0
+
+
 def weight(count: Column, term: Column) -> Column:
     tf = F.least(count, F.lit(MAX_COUNT)).cast("double")
     return tf / (tf + 1) * idf(term)

@@ -12,6 +12,10 @@ KS = (1, 3, 5, 10)
 SPARSE_GRID, SUMMARY_GRID = (1.0, 1.3, 1.6), (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
 
 
+#: Parts in which distinct scores are ranked.
+AUC_PARTS = 64
+
+
 def recall_at_k(hits: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(category, k, items, any_rate): share of items with a target among the first k, by category, and 'TOTAL'.
 
@@ -49,10 +53,19 @@ def threshold_sweep(rows: DataFrame, lows: list[float], highs: list[float]) -> D
 
 
 def auc(rows: DataFrame) -> DataFrame:
-    """(positives, negatives, auc) of rows(score, present): the rank sum, ties counting half. Counted by distinct score first."""
+    """(positives, negatives, auc) of rows(score, present): the rank sum, ties counting half.
+
+    Counted by distinct score; scores are dealt to parts at approximate quantiles, and what lies below a score is what earlier
+    parts have, plus what its own part has below it. One row for each part is all that stands in one place.
+    """
     by = rows.groupBy("score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("n"))
-    below = by.withColumn("below", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)))
-    out = below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("n") / 2.0)).alias("s"))
+    cuts = by.agg(F.percentile_approx("score", [i / AUC_PARTS for i in range(1, AUC_PARTS)])).first()[0] or []
+    dealt = by.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("score"))))
+    sizes = dealt.groupBy("part").agg(F.sum("n").alias("m"), F.min("score").alias("low"))
+    earlier = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # a row a part
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = inside.join(F.broadcast(earlier), "part").withColumn("below", F.col("earlier") + F.col("inside"))
+    out = below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("s"))
     return out.select("positives", "negatives", F.round(F.col("s") / (F.col("positives") * F.col("negatives")), 9).alias("auc"))
 
 
@@ -64,6 +77,44 @@ def class_overlap(rows: DataFrame) -> DataFrame:
     return stats.join(inside, "present", "left").select("present", "n", F.round("low", 6).alias("low"), F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"), F.coalesce("inside", F.lit(0)).alias("inside"))
 
 
+def weight_sweep(branches: dict[str, DataFrame], k: int, constant: int = 60, sparse: tuple[float, ...] = SPARSE_GRID, summary: tuple[float, ...] = SUMMARY_GRID) -> DataFrame:
+    """(w_sparse, w_summary, query_id, id, rank): the first k of lists fused from ranked branches(query_id, id, rank) under every pair of weights; the dense weight stays 1."""
+    rows = reduce(DataFrame.unionByName, (b.select("query_id", "id", "rank", F.lit(name).alias("branch")) for name, b in branches.items()))
+    grid = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in sparse for b in summary))
+    each = rows.withColumn("g", F.explode(grid)).select("query_id", "id", "rank", "branch", F.col("g.a").alias("w_sparse"), F.col("g.b").alias("w_summary"))
+    part = F.when(F.col("branch") == "sparse", F.col("w_sparse")).when(F.col("branch") == "summary", F.col("w_summary")).otherwise(1.0) / (F.lit(constant) + F.col("rank"))
+    scored = each.groupBy("w_sparse", "w_summary", "query_id", "id").agg(F.round(F.sum(part), 12).alias("score"))
+    order = Window.partitionBy("w_sparse", "w_summary", "query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def placed(report: DataFrame, order: list[Column]) -> DataFrame:
+    """A report's rows with `place` in its order: for reports of a fixed size, a row a configuration."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def best_ranks(lists: dict[str, DataFrame], ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(arm, item, best_rank, hit<k>): of each configuration's ranked list(item, rank, is_target) the best rank of a target, null where none is in it."""
+    each = (d.groupBy("item").agg(F.min(F.when(F.col("is_target"), F.col("rank"))).alias("best_rank")).select(F.lit(name).alias("arm"), "item", "best_rank") for name, d in lists.items())
+    best = reduce(DataFrame.unionByName, each)
+    return best.select("*", *(F.coalesce(F.col("best_rank") <= k, F.lit(False)).alias(f"hit{k}") for k in ks))
+
+
+def recall_by_anchor(hits: DataFrame, items: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """(category, k, items, any_rate, full_rate), by category, over all ('TOTAL') and over items marked ambiguous ('AMBIGUOUS').
+
+    hits(item, rank, is_target, content), items(item, category, anchors array<string>, ambiguous boolean). A cut-off is hit in part
+    if a target row within it holds any anchor, in full if every anchor is held by some target row; items without anchors do not count.
+    """
+    asked = items.where(F.size("anchors") > 0)
+    held = asked.join(hits.where("is_target"), "item").select("item", "rank", F.explode("anchors").alias("anchor"), "content").where(F.contains("content", "anchor"))
+    first = held.groupBy("item", "anchor").agg(F.min("rank").alias("rank")).groupBy("item").agg(F.min("rank").alias("any"), F.max("rank").alias("last"), F.count("*").alias("found"))
+    each = asked.join(first, "item", "left").select("category", "ambiguous", F.size(F.array_distinct("anchors")).alias("n"), "any", "last", "found", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))).alias("k"))
+    any_, full = F.coalesce(F.col("any") <= F.col("k"), F.lit(False)), F.coalesce((F.col("found") == F.col("n")) & (F.col("last") <= F.col("k")), F.lit(False))
+    marked = each.select(F.explode(F.filter(F.array(F.col("category"), F.lit("TOTAL"), F.when(F.col("ambiguous"), "AMBIGUOUS")), lambda c: c.isNotNull())).alias("category"), "k", any_.cast("int").alias("a"), full.cast("int").alias("f"))
+    return marked.groupBy("category", "k").agg(F.count("*").alias("items"), F.round(F.avg("a"), 6).alias("any_rate"), F.round(F.avg("f"), 6).alias("full_rate"))
+
+
 def relative_cut(ranked: DataFrame, alpha: float) -> DataFrame:
     """Ranked rows whose score reaches alpha times the query's best."""
     return ranked.withColumn("best__", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("score") >= alpha * F.col("best__")).drop("best__")
@@ -161,12 +212,10 @@ def winner_substituted(ranked: DataFrame, stable: DataFrame) -> DataFrame:
 
 
 def meta_intent(queries: DataFrame, exemplars: DataFrame, threshold: float = 0.65) -> DataFrame:
-    """(query_id, best, is_meta): the largest dot product with any exemplar, of unit vectors. Exemplars are a fixed short list."""
-    from cairn.operators.retrieval import dense_topk
+    """(query_id, best, is_meta): the largest dot product with any exemplar, of unit vectors. Exemplars are a fixed short list, which is what is broadcast."""
+    from cairn.operators.retrieval import best_match
 
-    # Exemplars are what is searched for each query block; ids apart, so that none is left out as its own.
-    near = dense_topk(queries, exemplars.select((-F.col("id") - 1).alias("id"), "v"), 1)
-    return near.select("query_id", F.col("score").alias("best"), (F.col("score") >= threshold).alias("is_meta"))
+    return best_match(queries, exemplars).select("query_id", F.col("score").alias("best"), (F.col("score") >= threshold).alias("is_meta"))
 
 
 def valid_calibration(low: Column, high: Column, identity: Column) -> Column:

@@ -30,10 +30,9 @@ def _dense(spark, sf, k=K, **more) -> DataFrame:
 
 
 def _sparse(spark, sf, k=K) -> DataFrame:
-    post = R.postings(documents(spark, sf), "doc_id", "text")
-    pairs = R.sparse_topk(post.where("id % 50 = 0"), post, k + 1)
-    # A document is its own best match or ties with one: leave it out, then rank again.
-    return R.cut(pairs.where("id <> query_id").select("query_id", "id", "score"), k)
+    """Every fiftieth document asks all others by shared terms; the queries alone are lexed for their postings."""
+    d = documents(spark, sf)
+    return R.sparse_topk(R.postings(d.where("doc_id % 50 = 0"), "doc_id", "text"), d, k, "doc_id", "text")
 
 
 def content_identity(spark, sf):
@@ -137,15 +136,14 @@ RRF_WEIGHTED = f"WITH {Q.dense(40)}, {Q.sparse(40)}, {_WEIGHTED} {_CUT_K.format(
 
 
 def hybrid_search(spark, sf):
-    """Items of the benchmark ask all documents: by shared terms, and by the vectors that have the ids of item and document."""
+    """Items of the benchmark ask all documents: by shared terms, and by the vectors that have the ids of item and document. The dense branch sees documents that have a vector."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    items = table(spark, sf, "benchmark")
-    post = R.postings(documents(spark, sf), "doc_id", "text")
-    dense = R.dense_topk(items.join(v, items["item_id"] == v["id"]).select(F.col("item_id").alias("query_id"), "v"), v.join(documents(spark, sf).select(F.col("doc_id").alias("id")), "id", "left_semi"), 40)
-    sparse = R.sparse_topk(R.postings(items, "item_id", "text"), post, 40)
+    items, d = table(spark, sf, "benchmark"), documents(spark, sf)
+    dense = R.dense_topk(items.join(v, items["item_id"] == v["id"]).select(F.col("item_id").alias("query_id"), "v"), v.join(d.select(F.col("doc_id").alias("id")), "id", "left_semi"), 40)
+    sparse = R.sparse_topk(R.postings(items, "item_id", "text"), d, 40, "doc_id", "text", itself=True)
     best = R.cut(R.fuse_weighted({"dense": dense, "sparse": sparse}), K)
     # The texts come last, for what is returned only.
-    return best.join(documents(spark, sf).select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").cast("long").alias("n_chars")), "id", "left").select("query_id", "id", "rank", F.round("score", 9).alias("score"), "lang", "n_chars")
+    return best.join(d.select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").cast("long").alias("n_chars")), "id", "left").select("query_id", "id", "rank", F.round("score", 9).alias("score"), "lang", "n_chars")
 
 
 HYBRID_SEARCH = f"""WITH {Q.terms('post', 'documents', 'doc_id', 'text')}, {Q.terms('ask', 'benchmark', 'item_id', 'text')},
@@ -167,28 +165,83 @@ POOL_SIZES = """SELECT event_id, base, greatest(4 * base, 40)::BIGINT AS prefetc
 FROM (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END * (event_id % 20 + 1))::BIGINT AS base FROM events)"""
 
 
-def _symbols(spark, sf):
+def _chunks(spark, sf) -> DataFrame:
+    """(id, v, defined, consumed) of documents that have a vector: the terms of the first line are defined, those of the rest consumed, in their order."""
     d = documents(spark, sf).select(F.col("doc_id").alias("id"), F.split("text", "\n", 2).alias("p"))
-    first, rest = T.terms(F.element_at("p", 1)), T.terms(F.coalesce(F.get("p", F.lit(1)), F.lit("")))
-    return d.select("id", F.explode(F.concat(F.transform(F.array_distinct(first), lambda s: F.struct(s.alias("symbol"), F.lit("defined").alias("kind"))), F.transform(F.array_distinct(rest), lambda s: F.struct(s.alias("symbol"), F.lit("consumed").alias("kind"))))).alias("x")).select("id", "x.symbol", "x.kind")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return d.join(v, "id").select("id", "v", F.array_distinct(T.terms(F.element_at("p", 1))).alias("defined"), F.array_distinct(T.terms(F.coalesce(F.get("p", F.lit(1)), F.lit("")))).alias("consumed"))
+
+
+def _asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+def _shown(merged: DataFrame) -> DataFrame:
+    return merged.select("query_id", "id", "rank", F.round("score", 9).alias("score"), "scale", F.round("ranking_score", 9).alias("ranking_score"), "ranking_scale")
 
 
 def two_hop_expansion(spark, sf):
-    primary = _sparse(spark, sf).select("query_id", "id", "rank")
-    hop = R.second_hop(primary, _symbols(spark, sf))
-    return R.merge_hop(primary, hop.where(F.col("id") != F.col("query_id")).select("query_id", "id", "hop_rank"), K).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+    """The fused list of dense and sparse search, and a second hop to what defines the symbols that its best rows use."""
+    primary = R.cut(R.fuse_weighted({"dense": _dense(spark, sf, 40), "sparse": _sparse(spark, sf, 40)}), K)
+    return _shown(R.merge_hop(primary, R.second_hop(primary, _asked(spark, sf), _chunks(spark, sf)), K))
 
 
 _FIRST = "split_part(text, chr(10), 1)"
 _REST = "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END"
-TWO_HOP_EXPANSION = f"""WITH {Q.sparse(K)}, {Q.terms('def', 'documents', 'doc_id', _FIRST)}, {Q.terms('use', 'documents', 'doc_id', _REST)},
-used AS (SELECT query_id, term, min(rank) AS first FROM sparse JOIN "use" u USING (id) WHERE rank <= 5 GROUP BY ALL),
-few AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, term) AS n FROM used) WHERE n <= 50),
-hits AS (SELECT query_id, d.id, count(DISTINCT term) AS hits FROM few JOIN def d USING (term) GROUP BY ALL),
-hop AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS hop_rank FROM hits),
-fused AS (SELECT query_id, id, round(coalesce(1.0::DOUBLE / (10 + p.rank), 0) + coalesce(1.0::DOUBLE / (10 + h.hop_rank), 0), 12) AS score FROM sparse p FULL JOIN (SELECT * FROM hop WHERE id <> query_id) h USING (query_id, id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused)
-SELECT query_id, id, rank, round(score, 9) AS score FROM r JOIN (SELECT query_id, count(*) AS size FROM sparse GROUP BY ALL) USING (query_id) WHERE rank <= size"""
+
+
+def _hop_sql(primary: str, scale: str, qualify: str = "") -> str:
+    """CTEs from p(query_id, id, rank, score) to the merged list."""
+    ordered = f"""uw AS (SELECT doc_id AS id, list_filter({Q.words(_REST)}, lambda w: length(w) BETWEEN 2 AND 128 AND lower(w) NOT IN ({Q.quoted(sorted({*T.STOP_WORDS, *T.DROPPED_WORDS}))})) AS ws FROM documents JOIN embeddings ON vec_id = doc_id),
+ue AS (SELECT id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM uw), uses AS (SELECT id, {Q.stem(f"translate(lower(w), '{T.ACCENTS}', '{T.PLAIN}')")} AS term, min(pos) AS pos FROM ue GROUP BY ALL)"""
+    return f"""{Q.terms('def', 'documents', 'doc_id', _FIRST)}, {ordered}, p AS ({primary}),
+used AS (SELECT query_id, term, min(rank * 100000000 + pos) AS first FROM p JOIN uses USING (id) WHERE rank <= 5 AND trim(term) <> '' GROUP BY ALL),
+few AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, term) AS n FROM used) WHERE n <= 50{qualify}),
+cand AS (SELECT DISTINCT query_id, d.id FROM few JOIN def d USING (term) WHERE d.id <> query_id),
+hs AS (SELECT query_id, id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS cosine FROM cand JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = id),
+hop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS hop_rank FROM hs) WHERE hop_rank <= 20),
+fused2 AS (SELECT query_id, id, p.rank, p.score, hop_rank, cosine, round(coalesce(1.0::DOUBLE / (10 + p.rank), 0) + coalesce(1.0::DOUBLE / (10 + hop_rank), 0), 12) AS s FROM p FULL JOIN hop USING (query_id, id)),
+placed AS (SELECT *, count(rank) OVER (PARTITION BY query_id) AS size, count(hop_rank) OVER (PARTITION BY query_id) AS hops, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM fused2)
+SELECT query_id, id, place AS rank, round(coalesce(score, cosine), 9) AS score, CASE WHEN rank IS NULL THEN 'SymbolExpansion' ELSE '{scale}' END AS scale, round(CASE WHEN hops > 0 THEN s ELSE score END, 9) AS ranking_score, CASE WHEN hops > 0 THEN 'SymbolExpansion' ELSE '{scale}' END AS ranking_scale FROM placed WHERE place <= size"""
+
+
+_FUSED_10 = "SELECT query_id, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10"
+TWO_HOP_EXPANSION = f"WITH {Q.dense(40)}, {Q.sparse(40)}, {_WEIGHTED}, {_hop_sql(_FUSED_10, 'RankFusionWeighted')}"
+
+
+def two_hop_dense(spark, sf):
+    """A dense list and its second hop, with a qualifier that lets pass symbols of eight letters or more; queries left without any abstain."""
+    primary = _dense(spark, sf)
+    keep = lambda w: w.select("query_id", F.filter("symbols", lambda s: F.length(s) >= 8).alias("symbols"))
+    return _shown(R.merge_hop(primary, R.second_hop(primary, _asked(spark, sf), _chunks(spark, sf), keep), K, scale="Cosine"))
+
+
+TWO_HOP_DENSE = f"WITH {Q.dense(K)}, {_hop_sql('SELECT query_id, id, rank, score FROM dense', 'Cosine', ' AND length(term) >= 8')}"
+
+
+def _summaries(spark, sf) -> DataFrame:
+    """(id, v): a summary vector for two of three vectors, the mean of its own and the next one's."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    after = e.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
+    return e.where("id % 3 <> 0").join(after, "id").select("id", F.zip_with("v", "w", lambda x, y: (x + y) / 2).alias("v"))
+
+
+def _three(spark, sf) -> dict[str, DataFrame]:
+    q = _asked(spark, sf)
+    return {"dense": _dense(spark, sf, 40), "sparse": _sparse(spark, sf, 40), "summary": R.dense_topk(q, _summaries(spark, sf), 40)}
+
+
+def hybrid_three_branch(spark, sf):
+    """Dense, sparse and summary ranks fused by their weights; vectors without a summary are absent from that branch."""
+    return R.cut(R.fuse_weighted(_three(spark, sf)), K).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+
+
+_SUMMARY = """sv AS (SELECT a.vec_id AS id, list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE) / 2) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 3 <> 0),
+ss AS (SELECT q.vec_id AS query_id, id, round(list_dot_product(q.embedding::DOUBLE[], v), 9) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, sv WHERE id <> q.vec_id),
+summary AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ss) WHERE rank <= 40)"""
+HYBRID_THREE_BRANCH = f"""WITH {Q.dense(40)}, {Q.sparse(40)}, {_SUMMARY},
+fused AS (SELECT query_id, id, round(sum(w / (60 + rank)), 12) AS score FROM (SELECT query_id, id, rank, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, id, rank, 1.3::DOUBLE FROM sparse UNION ALL SELECT query_id, id, rank, 2.5::DOUBLE FROM summary) GROUP BY ALL)
+{_CUT_K.format(k=K)}"""
 
 
 def _hits(spark, sf, ranked=None):
@@ -208,23 +261,38 @@ RECALL_AT_K = f"WITH {Q.dense(K)}, {_RECALL.format(src='dense')} SELECT coalesce
 
 
 def weight_sweep(spark, sf):
-    """Recall of fused lists over the grid of sparse weights: branches are ranked once, the grid is an array."""
-    dense, sparse = _dense(spark, sf, 40), _sparse(spark, sf, 40)
-    both = dense.select("query_id", "id", F.lit(1.0).alias("d"), F.col("rank")).unionByName(sparse.select("query_id", "id", F.lit(0.0).alias("d"), "rank"))
-    grid = both.withColumn("w", F.explode(F.array(*map(F.lit, E.SPARSE_GRID))))
-    scored = grid.groupBy("w", "query_id", "id").agg(F.round(F.sum(F.when(F.col("d") == 1, 1.0).otherwise(F.col("w")) / (60 + F.col("rank"))), 12).alias("score"))
-    ranked = scored.withColumn("rank", R.rank_within(["w", "query_id"], F.col("score"), "id")).where(F.col("rank") <= K)
+    """Recall of lists fused from three branches over the grid of sparse and summary weights, best first: branches are ranked once, the grid is an array."""
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
-    hit = ranked.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("dl")), "id", "left")
-    each = hit.groupBy("w", "query_id").agg(*(F.max(((F.col("rank") <= k) & F.coalesce(F.col("ql") == F.col("dl"), F.lit(False))).cast("int")).alias(f"k{k}") for k in (5, 10)))
-    return each.groupBy("w").agg(F.count("*").alias("items"), F.round(F.avg("k5"), 6).alias("recall5"), F.round(F.avg("k10"), 6).alias("recall10"))
+    swept = E.weight_sweep({name: b.select("query_id", "id", "rank") for name, b in _three(spark, sf).items()}, K)
+    target = swept.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("dl")), "id", "left")
+    each = target.groupBy("w_sparse", "w_summary", "query_id").agg(*(F.max(((F.col("rank") <= k) & F.coalesce(F.col("ql") == F.col("dl"), F.lit(False))).cast("int")).alias(f"k{k}") for k in (5, 10)))
+    summed = each.groupBy("w_sparse", "w_summary").agg(F.count("*").alias("items"), F.round(F.avg("k5"), 6).alias("recall5"), F.round(F.avg("k10"), 6).alias("recall10"), F.sum("k10").cast("long").alias("solved"))
+    return E.placed(summed, [F.desc("recall10"), F.desc("recall5"), F.asc("w_sparse"), F.asc("w_summary")])
+
+
+WEIGHT_SWEEP = f"""WITH {Q.dense(40)}, {Q.sparse(40)}, {_SUMMARY}, g AS (SELECT a AS w_sparse, b AS w_summary FROM (SELECT unnest([1.0, 1.3, 1.6])::DOUBLE AS a), (SELECT unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5])::DOUBLE AS b)),
+f AS (SELECT w_sparse, w_summary, query_id, id, round(sum(c / (60 + rank)), 12) AS score FROM (SELECT g.*, query_id, id, rank, 1.0::DOUBLE AS c FROM dense, g UNION ALL SELECT g.*, query_id, id, rank, w_sparse FROM sparse, g UNION ALL SELECT g.*, query_id, id, rank, w_summary FROM summary, g) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY w_sparse, w_summary, query_id ORDER BY score DESC, id) AS rank FROM f),
+h AS (SELECT w_sparse, w_summary, query_id, max((rank <= 5 AND coalesce(q.label = d.label, false))::INT) AS k5, max(coalesce(q.label = d.label, false)::INT) AS k10 FROM r JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings d ON d.vec_id = id WHERE rank <= 10 GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY recall10 DESC, recall5 DESC, w_sparse, w_summary) AS place FROM (SELECT w_sparse, w_summary, count(*) AS items, round(avg(k5), 6) AS recall5, round(avg(k10), 6) AS recall10, sum(k10)::BIGINT AS solved FROM h GROUP BY ALL)"""
+
+
+def best_target_rank(spark, sf):
+    """Of every query and configuration of branches the best rank of a target, and recall by cut-off."""
+    three, labels = _three(spark, sf), table(spark, sf, "embeddings").select("vec_id", "label")
+    arms = {"dense": ["dense"], "dense+sparse": ["dense", "sparse"], "dense+sparse+summary": ["dense", "sparse", "summary"]}
+    own, other = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), labels.select(F.col("vec_id").alias("id"), F.col("label").alias("dl"))
+    lists = {name: R.cut(R.fuse_weighted({b: three[b] for b in parts}), 40).join(own, "query_id").join(other, "id", "left").select(F.col("query_id").alias("item"), "rank", F.coalesce(F.col("ql") == F.col("dl"), F.lit(False)).alias("is_target")) for name, parts in arms.items()}
+    return E.best_ranks(lists)
+
+
+def _arm_sql(name: str, branches: dict[str, float]) -> str:
+    parts = " UNION ALL ".join(f"SELECT query_id, id, rank, {w}::DOUBLE AS w FROM {b}" for b, w in branches.items())
+    return f"""SELECT '{name}' AS arm, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(w / (60 + rank)), 12) AS score FROM ({parts}) GROUP BY ALL)"""
 
 
-WEIGHT_SWEEP = f"""WITH {Q.dense(40)}, {Q.sparse(40)}, g AS (SELECT unnest([1.0, 1.3, 1.6])::DOUBLE AS w),
-f AS (SELECT w, query_id, id, round(sum(c / (60 + rank)), 12) AS score FROM (SELECT w, query_id, id, rank, 1.0::DOUBLE AS c FROM dense, g UNION ALL SELECT w, query_id, id, rank, w AS c FROM sparse, g) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY w, query_id ORDER BY score DESC, id) AS rank FROM f),
-h AS (SELECT w, query_id, max((rank <= 5 AND coalesce(q.label = d.label, false))::INT) AS k5, max(coalesce(q.label = d.label, false)::INT) AS k10 FROM r JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings d ON d.vec_id = id WHERE rank <= 10 GROUP BY ALL)
-SELECT w, count(*) AS items, round(avg(k5), 6) AS recall5, round(avg(k10), 6) AS recall10 FROM h GROUP BY w"""
+BEST_TARGET_RANK = f"""WITH {Q.dense(40)}, {Q.sparse(40)}, {_SUMMARY}, a AS ({_arm_sql('dense', {'dense': 1.0})} UNION ALL {_arm_sql('dense+sparse', {'dense': 1.0, 'sparse': 1.3})} UNION ALL {_arm_sql('dense+sparse+summary', {'dense': 1.0, 'sparse': 1.3, 'summary': 2.5})})
+SELECT arm, query_id AS item, min(rank) FILTER (q.label = d.label) AS best_rank, coalesce(min(rank) FILTER (q.label = d.label) <= 5, false) AS hit5, coalesce(min(rank) FILTER (q.label = d.label) <= 10, false) AS hit10 FROM a JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings d ON d.vec_id = id WHERE rank <= 40 GROUP BY ALL"""
 
 
 def _gate(spark, sf):
@@ -301,6 +369,9 @@ QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID_SEARCH),
     "pool_sizes": (pool_sizes, POOL_SIZES),
     "two_hop_expansion": (two_hop_expansion, TWO_HOP_EXPANSION),
+    "two_hop_dense": (two_hop_dense, TWO_HOP_DENSE),
+    "hybrid_three_branch": (hybrid_three_branch, HYBRID_THREE_BRANCH),
+    "best_target_rank": (best_target_rank, BEST_TARGET_RANK),
     "recall_at_k": (recall_at_k, RECALL_AT_K),
     "weight_sweep": (weight_sweep, WEIGHT_SWEEP),
     "gate_bands": (gate_bands, GATE_BANDS),
