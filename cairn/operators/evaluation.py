@@ -79,7 +79,9 @@ def class_overlap(rows: DataFrame) -> DataFrame:
 
 def weight_sweep(branches: dict[str, DataFrame], k: int, constant: int = 60, sparse: tuple[float, ...] = SPARSE_GRID, summary: tuple[float, ...] = SUMMARY_GRID) -> DataFrame:
     """(w_sparse, w_summary, query_id, id, rank): the first k of lists fused from ranked branches(query_id, id, rank) under every pair of weights; the dense weight stays 1."""
-    rows = reduce(DataFrame.unionByName, (b.select("query_id", "id", "rank", F.lit(name).alias("branch")) for name, b in branches.items()))
+    from cairn.operators.retrieval import stacked
+
+    rows = stacked([b.select("query_id", "id", "rank", F.lit(name).alias("branch")) for name, b in branches.items()])
     grid = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in sparse for b in summary))
     each = rows.withColumn("g", F.explode(grid)).select("query_id", "id", "rank", "branch", F.col("g.a").alias("w_sparse"), F.col("g.b").alias("w_summary"))
     part = F.when(F.col("branch") == "sparse", F.col("w_sparse")).when(F.col("branch") == "summary", F.col("w_summary")).otherwise(1.0) / (F.lit(constant) + F.col("rank"))
