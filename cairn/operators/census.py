@@ -28,7 +28,11 @@ def reduction(chunks: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def symbol_join(symbols: DataFrame) -> DataFrame:
-    """(tenant, pairs) of symbols(id, tenant, symbol, kind): distinct ordered pairs of a user and a definer in one tenant."""
+    """(tenant, pairs) of symbols(id, tenant, symbol, kind): distinct ordered pairs of a user and a definer in one tenant.
+
+    A pair counts once however many symbols join it, so that pairs have to be formed: work grows with the users times the definers
+    of each symbol. It is a census of a join that is proposed, to see how large it would be; AQE splits the symbols that many share.
+    """
     used = symbols.where("kind = 'consumed'").select("tenant", "symbol", F.col("id").alias("src"))
     made = symbols.where("kind = 'defined'").select("tenant", "symbol", F.col("id").alias("dst"))
     return used.join(made, ["tenant", "symbol"]).where("src <> dst").select("tenant", "src", "dst").distinct().groupBy("tenant").agg(F.count("*").alias("pairs"))

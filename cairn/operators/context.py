@@ -77,6 +77,30 @@ def visible_question(text: Column, flag: Column, expires: Column, now: Column) -
     return F.when(flag & expires.isNotNull() & (now < expires), text).otherwise(F.concat(F.lit("len="), F.length(text)))
 
 
+def omission_note(taken: Column, offered: Column) -> Column:
+    """What an assembled context says of results that did not fit; null where all did."""
+    return F.when(taken < offered, F.concat(F.lit("["), (offered - taken).cast("string"), F.lit(" of "), offered.cast("string"), F.lit(" results left out]")))
+
+
+def ask(questions: DataFrame, meta: DataFrame, ranked: DataFrame, texts: DataFrame, low: float, high: float, budget: int = ASK_CHARS) -> DataFrame:
+    """(query_id, band, route, sources, context, note): one plan from questions to what a generator is given.
+
+    questions(query_id), meta(query_id, is_meta), ranked(query_id, id, rank, score, scale), texts(id, text). A question about the
+    assistant itself is answered without search; without grounding (band none) nothing is handed on; else results are taken in
+    rank order while they fit the budget, one that does not fit is skipped.
+    """
+    best = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max_by("score", -F.col("rank")).alias("score"), F.max_by("scale", -F.col("rank")).alias("scale"))
+    gated = questions.select("query_id").join(meta, "query_id", "left").join(best, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    gated = gated.withColumn("band", assess(F.col("score"), F.col("n"), F.col("scale"), low, high)).withColumn("route", F.when(F.coalesce("is_meta", F.lit(False)), "meta").when(F.col("band") == "none", "declined").otherwise("grounded"))
+    # Texts join the results of grounded questions alone.
+    rows = gated.where("route = 'grounded'").select("query_id").join(ranked, "query_id").join(texts, "id")
+    packed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text"))).alias("xs"))
+    fits = F.arrays_zip(F.col("xs").alias("x"), budget_skip(F.transform("xs", lambda x: F.length(x["text"]).cast("long")), budget).alias("ok"))
+    taken = packed.select("query_id", F.size("xs").alias("offered"), F.transform(F.filter(fits, lambda p: p["ok"]), lambda p: p["x"]).alias("kept"))
+    made = taken.select("query_id", F.transform("kept", lambda x: x["id"]).alias("sources"), F.array_join(F.transform("kept", lambda x: x["text"]), "\n\n---\n\n").alias("context"), omission_note(F.size("kept"), F.col("offered")).alias("note"))
+    return gated.select("query_id", "band", "route").join(made, "query_id", "left")
+
+
 def ask_events(query: str, assessed: str, sources: int, answer: list[str], fallback: str) -> list[tuple[int, str, str]]:
     """(n, kind, payload) of one answer as it is streamed: the context (sources hidden without grounding), fragments, completion."""
     grounded = assessed != "none"

@@ -81,8 +81,32 @@ def require_model(manifest_hash: Column, current_hash: Column) -> Column:
     return F.when(manifest_hash.eqNullSafe(current_hash), current_hash).otherwise(F.raise_error(F.concat(F.lit("model mismatch: stored "), F.coalesce(manifest_hash, F.lit("-")), F.lit(", current "), F.coalesce(current_hash, F.lit("-")))))
 
 
-def snapshot_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(rows, digest): order-free digest of a table: hashes of canonical rows, hashed again by block of the hash, then together."""
+def snapshot_digest(rows: DataFrame, key: str, columns: list[str], levels: tuple[int, ...] = (4, 2)) -> DataFrame:
+    """(rows, digest): order-free digest of a table: a tree over hashes of canonical rows. A node hashes its children's hashes in their order; nodes are the first hexadecimal digits of a row's hash, as many as `levels` say, then the root."""
     line = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-    blocks = rows.select(line.alias("h"), F.substring(line, 1, 2).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return blocks.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    tree = rows.select(line.alias("h"), line.alias("b"), F.lit(1).cast("long").alias("n"))
+    for n in (*levels, 0):
+        packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")
+        tree = tree.groupBy(F.substring("b", 1, n).alias("b2")).agg(F.sum("n").alias("n"), F.sha2(packed, 256).alias("h")).select("h", F.col("b2").alias("b"), "n")
+    return tree.select(F.col("n").alias("rows"), F.col("h").alias("digest"))
+
+
+def set_hold(events: DataFrame, changes: DataFrame, key: str, hold: str = "legal_hold") -> DataFrame:
+    """Events with the hold that the last of changes(key, hold, at) sets or clears; events that no change names keep theirs."""
+    last = changes.groupBy(key).agg(F.max_by(hold, "at").alias("hold__"))
+    out = events.join(last, key, "left")
+    return out.withColumn(hold, F.coalesce("hold__", hold)).select(*events.columns)
+
+
+def purge(events: DataFrame, at: str, cutoff: Column, hold: str = "legal_hold") -> DataFrame:
+    """What a retention purge leaves: events from the cutoff on, and older ones under hold. One filter, so that no hold can be set between choosing and deleting."""
+    return events.where((F.col(at) >= cutoff) | F.coalesce(F.col(hold), F.lit(False)))
+
+
+def schema_problems(dense: Column, sparse: Column, expected: Column, name: str = "dense", summary: str = "dense-resumen", sparse_name: str = "sparse") -> Column:
+    """What is wrong with a collection's schema, in a fixed order; none where it is current."""
+    has = lambda n: F.coalesce(F.map_contains_key(dense, n), F.lit(False))
+    other = lambda n: has(n) & F.coalesce(F.element_at(dense, n) != expected, F.lit(False))
+    size = lambda n: F.concat(F.lit(f"{n} has dimension "), F.element_at(dense, n).cast("string"), F.lit(", expected "), expected.cast("string"))
+    said = [F.when(~has(name), f"{name} is missing"), F.when(other(name), size(name)), F.when(~has(summary), f"{summary} is missing"), F.when(other(summary), size(summary)), F.when(~F.coalesce(F.array_contains(sparse, sparse_name), F.lit(False)), f"{sparse_name} is missing")]
+    return F.filter(F.array(*said), lambda x: x.isNotNull())

@@ -410,7 +410,9 @@ def replica_determinism(spark, sf):
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("query_id").agg(F.count("*").alias("replicas"), F.count_distinct("sig").alias("signatures"))
 
 
-REPLICA_DETERMINISM = "SELECT vec_id AS query_id, 3::BIGINT AS replicas, 1::BIGINT AS signatures FROM embeddings WHERE vec_id % 50 = 0"
+REPLICA_DETERMINISM = f"""WITH {Q.dense(5)}, other AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, id) AS r FROM dense_scores),
+s AS (SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS sig FROM dense GROUP BY 1 UNION ALL SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY r) FROM other WHERE r <= 5 GROUP BY 1 UNION ALL SELECT query_id, array_to_string(list_transform(list_sort(list((-score, id)))[1:5], lambda x: x[2]), ',') FROM dense_scores GROUP BY 1)
+SELECT query_id, count(*) AS replicas, count(DISTINCT sig) AS signatures FROM s GROUP BY 1"""
 
 
 def latency_percentiles(spark, sf):
@@ -531,8 +533,8 @@ def snapshot_digest(spark, sf):
     return S.snapshot_digest(documents(spark, sf).select("doc_id", "lang", "source"), "doc_id", ["doc_id", "lang", "source"])
 
 
-SNAPSHOT_DIGEST = """WITH r AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS h FROM documents), b AS (SELECT substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
-SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b"""
+SNAPSHOT_DIGEST = """WITH r AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS h FROM documents), a AS (SELECT substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1),
+b AS (SELECT substr(b, 1, 2) AS b, sum(n) AS n, sha256(string_agg(h, '' ORDER BY b)) AS h FROM a GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b"""
 
 
 def redacted_sources(spark, sf):

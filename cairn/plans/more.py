@@ -11,6 +11,7 @@ from cairn.operators import census as N
 from cairn.operators import context as X
 from cairn.operators import evaluation as E
 from cairn.operators import retrieval as R
+from cairn.operators import store as S
 from cairn.sources import files as L
 
 from . import sql as Q
@@ -23,7 +24,9 @@ def language_map(spark, sf):
     return d.select("doc_id", L.language(F.col("path")).alias("language"), L.in_skipped_dir(F.col("path")).alias("skipped"))
 
 
-LANGUAGE_MAP = "SELECT doc_id, ['CSharp', 'TypeScript', 'Markdown', 'Unknown', 'Unknown'][(doc_id % 5 + 1)::BIGINT] AS language, doc_id % 4 = 0 AS skipped FROM documents"
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.LANGUAGES.items())
+LANGUAGE_MAP = f"""WITH p AS (SELECT doc_id, source || CASE WHEN doc_id % 4 = 0 THEN '/Bin/f' ELSE '/a/f' END || ['.cs', '.TS', '.md', '.exe', ''][(doc_id % 5 + 1)::BIGINT] AS path FROM documents)
+SELECT doc_id, CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) {_CASES} ELSE 'Unknown' END AS language, len(list_intersect(list_transform(string_split(path, '/')[:-2], lambda x: lower(x)), [{Q.quoted(L.SKIPPED_DIRS)}])) > 0 AS skipped FROM p"""
 
 
 def batch_lookup(spark, sf):
@@ -49,28 +52,25 @@ def metadata_filters(spark, sf):
 METADATA_FILTERS = "SELECT doc_id, 'app.' || source AS namespace FROM documents WHERE lang = 'en' AND contains(source, 'src1') AND doc_id % 3 <> 0 AND doc_id % 2 = 1"
 
 
-def _chunks(spark, sf):
-    return documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("class_name"), F.slice(F.array_distinct(T.terms(F.col("text"))), 1, 5).alias("defined"))
-
-
 def qualified_hop(spark, sf):
-    c = _chunks(spark, sf)
-    asked = c.where("id % 10 = 0").select(F.col("id").alias("query_id"), "class_name", F.explode("defined").alias("method"))
+    """Every fiftieth document asks for the documents of its source whose first line defines a term that its own first line has."""
+    first = F.element_at(F.split("text", "\n", 2), 1)
+    c = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("class_name"), F.array_distinct(T.terms(first)).alias("defined"))
+    asked = c.where("id % 50 = 0").select(F.col("id").alias("query_id"), "class_name", F.explode("defined").alias("method"))
     return R.qualified_hop(c, asked).where("id <> query_id").select("query_id", "id")
 
 
-_FIVE = f"""w AS (SELECT doc_id, source, list_filter({Q.words('text')}, lambda w: length(w) BETWEEN 2 AND 128 AND lower(w) NOT IN ({Q.quoted(sorted({*T.STOP_WORDS, *T.DROPPED_WORDS}))})) AS ws FROM documents),
-e AS (SELECT doc_id, source, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM w), t AS (SELECT doc_id, source, {Q.stem(f"translate(lower(w), '{T.ACCENTS}', '{T.PLAIN}')")} AS term, min(p) AS p FROM e GROUP BY ALL),
-five AS (SELECT doc_id, source, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM t) WHERE i <= 5)"""
-QUALIFIED_HOP = f"WITH {_FIVE} SELECT DISTINCT a.doc_id AS query_id, b.doc_id AS id FROM five a JOIN five b USING (source, term) WHERE a.doc_id % 10 = 0 AND a.doc_id <> b.doc_id"
+QUALIFIED_HOP = f"""WITH {Q.terms('def', 'documents', 'doc_id', "split_part(text, chr(10), 1)")}, c AS (SELECT DISTINCT id, source, term FROM def JOIN documents ON doc_id = id)
+SELECT DISTINCT a.id AS query_id, b.id AS id FROM c a JOIN c b USING (source, term) WHERE a.id % 50 = 0 AND a.id <> b.id"""
 
 
 def symbol_filter(spark, sf):
     wanted = F.array(*map(F.lit, ["ering", "tion", "ster", "escion"]))
-    return _chunks(spark, sf).where(R.defines_any(F.col("defined"), wanted)).groupBy("class_name").agg(F.count("*").alias("n"))
+    c = documents(spark, sf).select(F.col("source").alias("class_name"), F.array_distinct(T.terms(F.col("text"))).alias("defined"))
+    return c.where(R.defines_any(F.col("defined"), wanted)).groupBy("class_name").agg(F.count("*").alias("n"))
 
 
-SYMBOL_FILTER = f"WITH {_FIVE} SELECT source AS class_name, count(DISTINCT doc_id) AS n FROM five WHERE term IN ('ering', 'tion', 'ster', 'escion') GROUP BY source"
+SYMBOL_FILTER = f"WITH {Q.terms('post', 'documents', 'doc_id', 'text')} SELECT source AS class_name, count(DISTINCT id) AS n FROM post JOIN documents ON doc_id = id WHERE term IN ('ering', 'tion', 'ster', 'escion') GROUP BY source"
 
 
 def retrieval_profile(spark, sf):
@@ -151,11 +151,107 @@ ARM_COSTS = "SELECT event_type AS arm, count(DISTINCT user_id) AS queries, count
 
 
 def answer_quality(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'assistant'").select(T.stance(F.col("text")).alias("stance"), F.length("text").alias("n"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w"))
+    """Answers of the assistant, one in four made to refuse and one in four to hedge."""
+    said = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("No tengo acceso a eso. "), F.col("text"))).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("No encontré una coincidencia clara. "), F.col("text"))).otherwise(F.col("text"))
+    c = table(spark, sf, "conversations").where("role = 'assistant'").select(said.alias("text"))
+    c = c.select(T.stance(F.col("text")).alias("stance"), F.length("text").alias("n"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w"))
     return c.groupBy("stance").agg(F.count("*").alias("n"), F.round(F.avg("n"), 1).alias("mean_chars"), F.round(F.percentile("w", 0.5), 1).alias("median_words"), F.round(100 * F.count_if(F.col("w") > 20) / F.count("*"), 1).alias("long_share"))
 
 
-ANSWER_QUALITY = "SELECT 'directo' AS stance, count(*) AS n, round(avg(length(text)), 1) AS mean_chars, round(quantile_cont(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 0.5), 1)::DOUBLE AS median_words, round(100.0::DOUBLE * count(*) FILTER (len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 20) / count(*), 1) AS long_share FROM conversations WHERE role = 'assistant'"
+def _has(marks: list[str]) -> str:
+    return " OR ".join(f"contains(lower(text), '{m}')" for m in marks)
+
+
+ANSWER_QUALITY = f"""WITH c AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'No tengo acceso a eso. ' WHEN 1 THEN 'No encontré una coincidencia clara. ' ELSE '' END || text AS text FROM conversations WHERE role = 'assistant'),
+w AS (SELECT CASE WHEN {_has(T.REFUSALS)} THEN 'rechazo_pleno' WHEN {_has(T.HEDGES)} THEN 'banda_baja' ELSE 'directo' END AS stance, length(text) AS n, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w FROM c)
+SELECT stance, count(*) AS n, round(avg(n), 1) AS mean_chars, round(quantile_cont(w, 0.5), 1)::DOUBLE AS median_words, round(100.0::DOUBLE * count(*) FILTER (w > 20) / count(*), 1) AS long_share FROM w GROUP BY stance"""
+
+
+def recall_any_full(spark, sf):
+    """Benchmark items ask all documents by shared terms; two words of an item are its anchors, a document outside src1 its target."""
+    items = table(spark, sf, "benchmark")
+    d = documents(spark, sf)
+    near = R.sparse_topk(R.postings(items, "item_id", "text"), d, 10, "doc_id", "text", itself=True)
+    hits = near.join(d.select(F.col("doc_id").alias("id"), (F.col("source") != "src1").alias("is_target"), F.col("text").alias("content")), "id").select(F.col("query_id").alias("item"), "rank", "is_target", "content")
+    word = lambda i: F.get(F.split("text", " "), F.lit(i))
+    asked = items.select(F.col("item_id").alias("item"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.filter(F.array(word(1), word(4)), lambda w: F.length(w) > 0).alias("anchors"), (F.col("item_id") % 5 == 0).alias("ambiguous"))
+    return E.recall_by_anchor(hits, asked)
+
+
+RECALL_ANY_FULL = f"""WITH {Q.terms('post', 'documents', 'doc_id', 'text')}, {Q.terms('ask', 'benchmark', 'item_id', 'text')},
+s AS (SELECT a.id AS item, p.id AS id, round(sum(a.weight * p.weight), 9) AS score FROM ask a JOIN post p USING (term) GROUP BY ALL),
+h AS (SELECT item, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS rank FROM s) JOIN documents ON doc_id = id WHERE rank <= 10 AND source <> 'src1'),
+i AS (SELECT item_id AS item, 'c' || item_id % 3 AS category, list_distinct(list_filter([string_split(text, ' ')[2], string_split(text, ' ')[5]], lambda x: length(x) > 0)) AS anchors, item_id % 5 = 0 AS ambiguous FROM benchmark),
+e AS (SELECT item, category, ambiguous, unnest(anchors) AS anchor, k FROM i, (SELECT unnest([1, 3, 5, 10])::BIGINT AS k)),
+g AS (SELECT e.item, category, ambiguous, k, anchor, coalesce(max((contains(text, anchor) AND rank <= k)::INT), 0) AS got FROM e LEFT JOIN h USING (item) GROUP BY ALL),
+f AS (SELECT item, category, ambiguous, k, max(got) AS a, min(got) AS f FROM g GROUP BY ALL)
+SELECT category, k, count(*) AS items, round(avg(a), 6) AS any_rate, round(avg(f), 6) AS full_rate FROM (SELECT category, k, a, f FROM f UNION ALL SELECT 'TOTAL', k, a, f FROM f UNION ALL SELECT 'AMBIGUOUS', k, a, f FROM f WHERE ambiguous) GROUP BY ALL"""
+
+
+def audit_hold_purge(spark, sf):
+    """Holds are set and cleared, then what is older than a week and not under hold goes."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", (F.col("user_id") % 10 == 0).alias("legal_hold"))
+    change = lambda where, on, at: e.where(where).select("event_id", F.lit(on).alias("legal_hold"), F.lit(at).alias("at"))
+    changes = change("event_id % 7 = 0", True, 1).unionByName(change("event_id % 14 = 0", False, 2))
+    cut = e.agg(F.expr("max(ts) - interval 7 days").alias("cutoff"))  # one row
+    left = S.purge(S.set_hold(e, changes, "event_id").join(F.broadcast(cut)), "ts", F.col("cutoff"))
+    return left.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("legal_hold").alias("held"), F.count_if(F.col("ts") < F.col("cutoff")).alias("old"))
+
+
+AUDIT_HOLD_PURGE = """WITH e AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 14 = 0 THEN false WHEN event_id % 7 = 0 THEN true ELSE user_id % 10 = 0 END AS hold FROM events), c AS (SELECT max(ts) - INTERVAL 7 DAY AS c FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (hold) AS held, count(*) FILTER (ts < c) AS old FROM e, c WHERE ts >= c OR hold GROUP BY event_type"""
+
+
+def ask_contexts(spark, sf):
+    """Questions from vector to context: meta-intent, search, gate, budget."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    ranked = R.dense_topk(q, v, 10).withColumn("scale", F.lit("Cosine"))
+    meta = E.meta_intent(q, v.where("id < 24"), 0.4).select("query_id", "is_meta")
+    return X.ask(q, meta, ranked, d, 0.25, 0.45, 6000).select("query_id", "band", "route", F.array_join("sources", ",").alias("sources"), F.sha2("context", 256).alias("context_hash"), "note")
+
+
+_META = "SELECT q.vec_id AS query_id, max(round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9)) >= 0.4 AS is_meta FROM embeddings q, (SELECT * FROM embeddings WHERE vec_id < 24) e WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id"
+ASK_CONTEXTS = f"""WITH RECURSIVE {Q.dense(10)}, m AS ({_META}),
+b AS (SELECT query_id, max(score) AS top FROM dense GROUP BY query_id),
+r AS (SELECT query_id, is_meta, CASE WHEN top < 0.25::DOUBLE THEN 'none' WHEN top < 0.45::DOUBLE THEN 'mid' ELSE 'high' END AS band FROM m JOIN b USING (query_id)),
+t AS (SELECT query_id, band, CASE WHEN is_meta THEN 'meta' WHEN band = 'none' THEN 'declined' ELSE 'grounded' END AS route FROM r),
+x AS (SELECT query_id, id, text, length(text) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM t JOIN dense USING (query_id) JOIN documents ON doc_id = id WHERE route = 'grounded'),
+f AS (SELECT query_id, id, text, k, n + 7 <= 6000 AS ok, CASE WHEN n + 7 <= 6000 THEN n ELSE 0 END AS used FROM x WHERE k = 1
+ UNION ALL SELECT x.query_id, x.id, x.text, x.k, f.used + x.n + 7 <= 6000, CASE WHEN f.used + x.n + 7 <= 6000 THEN f.used + x.n + CASE WHEN f.used > 0 THEN 7 ELSE 0 END ELSE f.used END FROM f JOIN x ON x.query_id = f.query_id AND x.k = f.k + 1),
+g AS (SELECT query_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k) FILTER (ok), '') AS sources, sha256(coalesce(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) FILTER (ok), '')) AS context_hash, CASE WHEN count(*) FILTER (ok) < count(*) THEN '[' || count(*) FILTER (NOT ok) || ' of ' || count(*) || ' results left out]' END AS note FROM f GROUP BY query_id)
+SELECT query_id, band, route, sources, context_hash, note FROM t LEFT JOIN g USING (query_id)"""
+
+
+def schema_problems(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    dense = F.when(F.col("k") % 5 != 0, F.map_from_arrays(F.when(F.col("k") % 3 == 0, F.array(F.lit("dense"), F.lit("dense-resumen"))).otherwise(F.array(F.lit("dense"), F.lit("x"))), F.array(F.when(F.col("k") % 7 == 0, 256).otherwise(384), F.when(F.col("k") % 2 == 0, 384).otherwise(512))))
+    sparse = F.when(F.col("k") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("sparse")))
+    return n.select("k", F.array_join(S.schema_problems(dense, sparse, F.lit(384)), "; ").alias("problems"))
+
+
+SCHEMA_PROBLEMS = """SELECT n_nationkey AS k, concat_ws('; ', CASE WHEN n_nationkey % 5 = 0 THEN 'dense is missing' END, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 7 = 0 THEN 'dense has dimension 256, expected 384' END,
+ CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 3 <> 0 THEN 'dense-resumen is missing' END, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0 AND n_nationkey % 2 <> 0 THEN 'dense-resumen has dimension 512, expected 384' END, CASE WHEN n_nationkey % 11 = 0 THEN 'sparse is missing' END) AS problems FROM nation"""
+
+
+def manifest_json(spark, sf):
+    """Manifests written as JSON and read again: the model's hash against the present one, and nested fields."""
+    n = table(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("collection"), F.sha2(F.col("n_regionkey").cast("string"), 256).alias("model_hash"), F.struct(F.col("n_regionkey").alias("dimension")).alias("profile"), F.array("n_name").alias("tenants"))).alias("doc"))
+    m = n.select("n_nationkey", F.from_json("doc", "collection string, model_hash string, profile struct<dimension: long>, tenants array<string>").alias("m"))
+    return m.select("n_nationkey", "m.collection", F.col("m.profile.dimension").alias("dimension"), F.size("m.tenants").cast("long").alias("tenants"), (F.col("m.model_hash") == F.sha2(F.lit("1"), 256)).alias("same_model"))
+
+
+MANIFEST_JSON = """SELECT n_nationkey, n_name AS collection, n_regionkey::BIGINT AS dimension, 1::BIGINT AS tenants, sha256(n_regionkey::VARCHAR) = sha256('1') AS same_model FROM nation"""
+
+
+def finite_scores(spark, sf):
+    """Scores that pass the guard against what is not finite, and headers of their chunks."""
+    e = table(spark, sf, "events").where("value is not null")
+    return e.select("event_id", F.round(A.finite(F.col("value")), 6).alias("score"), T.chunk_header(F.col("event_type"), F.concat(F.lit("a/"), F.col("user_id").cast("string")), F.col("event_id"), F.col("event_id") + 9).alias("header"))
+
+
+FINITE_SCORES = "SELECT event_id, round(value, 6) AS score, '// Repository: ' || event_type || chr(10) || '// File: a/' || user_id || chr(10) || '// Lines: ' || event_id || '-' || event_id + 9 AS header FROM events WHERE value IS NOT NULL"
 
 
 def member_runs(spark, sf):

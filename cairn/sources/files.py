@@ -69,17 +69,25 @@ def _any(paths: Column, pattern: str) -> Column:
 
 
 def scan(spark: SparkSession, root: str, rules: Iterable[str] = (), languages: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, relative_path, language, modified, size, text): files under root that the extension map, size, directories and ignore rules admit.
+    """(path, relative_path, language, modified, size, text, failed): files under root that the extension map, size, directories and ignore rules admit.
 
-    Listing and reading are Spark's; files that cannot be read are skipped. The filter on length is pushed to the listing.
+    Listing and reading are Spark's, the filter on length is pushed to the listing. A file that is no UTF-8 gives a row without
+    text, its reason in `failed`; scan_summary() counts them. Files that vanish while they are read are skipped.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root).where(F.col("length") <= max_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root).where(F.col("length") <= max_bytes)
     relative = F.regexp_replace("path", "^.*?" + re.escape("/" + root.rstrip("/").split("/")[-1] + "/"), "")
     named = files.withColumn("relative_path", relative).withColumn("language", language(F.col("path")))
     kept = named.where((F.col("language") != "Unknown") & ~in_skipped_dir(F.col("relative_path")) & ~ignored(F.col("relative_path"), parse_rules(rules)))
     if languages is not None:
         kept = kept.where(F.col("language").isin(languages))
-    return kept.select("path", "relative_path", "language", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    sound = F.is_valid_utf8(F.col("content").cast("string"))
+    return kept.select("path", "relative_path", "language", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.when(sound, F.col("content").cast("string")).alias("text"), F.when(~sound, "not UTF-8").alias("failed"))
+
+
+def scan_summary(files: DataFrame) -> DataFrame:
+    """(state, files, bytes) of scanned files: Processed, Failed."""
+    state = F.when(F.col("failed").isNull(), "Processed").otherwise("Failed")
+    return files.groupBy(state.alias("state")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 def json_set(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -44,5 +44,16 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
 
 def state_stream(events: DataFrame, key: str = "document", at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """(document, confirmed, expected, failed) as a running aggregate: the state follows by completion(), whatever order two writers come in."""
-    return events.groupBy(key).agg(F.count_if(F.col("kind") == "confirmed").alias("confirmed"), F.max(F.when(F.col("kind") == "expected", F.col("n"))).alias("expected"), F.count_if(F.col("kind") == "failed").alias("failed"))
+    """(document, started, ended, confirmed, expected, failed), one row for each run over a document: events no further apart than `late`.
+
+    The watermark follows `at` by the same time, so that a run's state is dropped once nothing more can join it; completion()
+    gives the status, whatever order two writers come in.
+    """
+    runs = events.withWatermark(at, late).groupBy(F.session_window(at, late).alias("run"), key)
+    counted = runs.agg(F.count_if(F.col("kind") == "confirmed").alias("confirmed"), F.max(F.when(F.col("kind") == "expected", F.col("n"))).alias("expected"), F.count_if(F.col("kind") == "failed").alias("failed"))
+    return counted.select(key, F.col("run.start").alias("started"), F.col("run.end").alias("ended"), "confirmed", "expected", "failed")
+
+
+def metered(rows: DataFrame, name: str, tokens: str = "token_count", failed: str = "failed") -> DataFrame:
+    """Rows as they are, observed under `name`: counts of rows, failures and tokens, which a batch gives through an Observation and a stream through its progress."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(failed)).alias("failed"), F.sum(tokens).alias("tokens"))

@@ -82,10 +82,89 @@ def test_fusion(spark):
 
 
 def test_hop_displaces(spark):
-    primary = ranks(spark, [(1, 1, 1), (1, 2, 2), (1, 3, 3)])
-    hop = spark.createDataFrame([(1, 9, 1), (1, 2, 2)], "query_id long, id long, hop_rank long")
-    got = [r["id"] for r in R.merge_hop(primary, hop, 3).orderBy("rank").collect()]
-    assert got == [2, 1, 9]
+    """The hop decides places; a primary row keeps its score and scale, a new one bears its cosine."""
+    primary = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 2, 0.8), (1, 3, 3, 0.7), (2, 5, 1, 0.4)], "query_id long, id long, rank long, score double")
+    hop = spark.createDataFrame([(1, 9, 1, 0.55), (1, 2, 2, 0.5)], "query_id long, id long, rank long, score double")
+    got = [tuple(r) for r in R.merge_hop(primary, hop, 3).orderBy("query_id", "rank").select("query_id", "id", "rank", "score", "scale", "ranking_scale").collect()]
+    fused, hopped = "RankFusionWeighted", "SymbolExpansion"
+    assert got == [(1, 2, 1, 0.8, fused, hopped), (1, 1, 2, 0.9, fused, hopped), (1, 9, 3, 0.55, hopped, hopped), (2, 5, 1, 0.4, fused, fused)]
+
+
+def test_hop_asks_for_symbols_in_order_and_may_abstain(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], ["a"], ["x", " ", "y"]), (2, [0.9, 0.1], ["x"], ["z"]), (3, [0.2, 0.9], ["y"], []), (4, [0.0, 1.0], ["z"], []), (7, [0.5, 0.5], ["q"], [])], "id long, v array<double>, defined array<string>, consumed array<string>")
+    queries = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, v array<double>")
+    primary = spark.createDataFrame([(100, 1, 1), (100, 2, 2)], "query_id long, id long, rank long")
+    asked = {r["query_id"]: r["symbols"] for r in R.harvest(primary, chunks.select("id", F.col("consumed").alias("symbols")), max_symbols=2).collect()}
+    assert asked == {100: ["x", "y"]}
+    hop = [(r["id"], r["rank"]) for r in R.second_hop(primary, queries, chunks).orderBy("rank").collect()]
+    assert hop == [(2, 1), (3, 2), (4, 3)]
+    none = R.second_hop(primary, queries, chunks, lambda w: w.withColumn("symbols", F.array().cast("array<string>")))
+    assert none.collect() == []
+
+
+def test_blocked_scores_equal_broadcast_ones(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    v = spark.createDataFrame([(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)], i % 3, [f"s{i % 5}"]) for i in range(90)], "id long, v array<double>, label int, defined array<string>")
+    q = v.where("id % 3 = 0").select(F.col("id").alias("query_id"), "v", "label", F.array(F.lit("s1"), F.lit("s3")).alias("wanted"))
+    take = lambda: sorted(map(tuple, R.dense_topk(q, v, 4, same="label", any_of=("wanted", "defined")).collect()))
+    whole = take()
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert take() == whole and whole
+
+
+def test_sparse_index_equals_join(spark):
+    d = spark.createDataFrame([(i, " ".join(["alpha beta gamma", "delta alpha", "list task", "omega beta beta"][j] for j in range(4) if i >> j & 1)) for i in range(16)], "doc_id long, text string")
+    q = R.postings(d.where("doc_id % 3 = 0"), "doc_id", "text")
+    for itself in (False, True):
+        a, b = (sorted(map(tuple, R.sparse_topk(q, d, 5, "doc_id", "text", itself=itself, limit=n).collect())) for n in (0, 10**6))
+        assert a == b and a
+
+
+def test_decorators_and_packing(spark):
+    from cairn.operators import chunking as C
+
+    code = "@Injectable()\n@Component({ a: 1 })\nexport class Foo {\n  run(a: string): void {\n    go('}');\n  }\n}\nlet x = 1\n"
+    assert C.brace_blocks(code) == [(1, 2, "PlainTextWindow", None, None), (3, 7, "Class", "Foo", "Component"), (8, 9, "PlainTextWindow", None, None)]
+    long = "function big(a) {\n" + "\n\n".join("  const v%d = '%s';" % (i, "z" * 300) for i in range(20)) + "\n}"
+    rows = C.brace_chunks(spark.createDataFrame([(1, long)], "id long, text string")).orderBy("start_line").collect()
+    assert len(rows) > 1 and {r["name"] for r in rows} == {"big"}
+    assert all((len(r["content"]) + 3 + 3) // 4 <= C.MAX_TOKENS for r in rows)
+    assert "".join(r["content"] for r in rows).replace("\n", "") == long.replace("\n", "")
+    lines = long.split("\n")
+    assert all(r["content"] == "\n".join(lines[r["start_line"] - 1 : r["end_line"]]) for r in rows)
+    defined, consumed = C.symbol_roles(F.col("t"))
+    got = spark.createDataFrame([("class A { void Run(int a) { Other.Go(a); } }",)], "t string").select(defined.alias("d"), consumed.alias("c")).first()
+    assert got["d"] == ["A", "Run"] and got["c"] == ["Go", "Other", "a"]
+
+
+def test_sanitizer_golden(spark):
+    """What the sanitizer must give for given answers."""
+    cases = {"Usa `GenerarPlan` ya": "Usa generar plan ya", "x ```cs\nvar a;\n``` y": "x (code) y", "x ```\n``` y": "x  y", "`a + b`": "(id)", "[Attr(1)] z": "(id) z", "Foo.BarBaz y snake_case_id": "foo bar baz y snake case id", "AbcDef": "abc def", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "a string").select("a", T.sanitize(F.col("a"), F.lit("(code)"), F.lit("(id)")).alias("s")).collect()
+    assert {r["a"]: r["s"] for r in got} == cases
+
+
+def test_failed_files_are_counted(spark, tmp_path):
+    from cairn.sources import files as L
+
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.cs").write_text("class A {}")
+    (tmp_path / "repo" / "b.cs").write_bytes(b"\xff\xfe\x00bad")
+    found = L.scan(spark, str(tmp_path / "repo"))
+    assert {r["relative_path"]: (r["text"], r["failed"]) for r in found.collect()} == {"a.cs": ("class A {}", None), "b.cs": (None, "not UTF-8")}
+    assert {r["state"]: r["files"] for r in L.scan_summary(found).collect()} == {"Processed": 1, "Failed": 1}
+
+
+def test_gzipped_json_set(spark, tmp_path):
+    import gzip
+
+    from cairn.sources import files as L
+
+    with gzip.open(tmp_path / "s.json.gz", "wt") as f:
+        f.write('[{"a": 1, "b": ["x"]}, {"a": 2}]')
+    assert [(r["a"], r["b"]) for r in L.json_set(spark, str(tmp_path / "s.json.gz"), "a long, b array<string>").orderBy("a").collect()] == [(1, ["x"]), (2, None)]
 
 
 def test_ties_do_not_follow_partitions(spark):
