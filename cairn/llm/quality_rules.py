@@ -64,16 +64,27 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
     return cut.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.greatest(F.coalesce(covered, F.lit(0)), F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines", "n_upper")
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1: Stirling's series at x + 8, less the logarithms between; exact to about 12 digits."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    for i in range(8):
+        series = series - F.log(x + float(i))
+    return series
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(at most k of n) at rate p, summed term by term in logarithms: exact but for rounding. k and n are longs."""
-    odds = math.log(p / (1 - p))
-    first = n * math.log(1 - p)
-    steps = F.sequence(F.lit(0).cast("long"), k)
-    start = F.struct((first + 0.0).alias("term"), F.lit(0.0).alias("sum"))
+    """P(at most k of n) at rate p, for k up to the mean: the term of k, then those below it, which only get smaller, until they no longer count. k and n are longs."""
+    k, n = k.cast("double"), n.cast("double")
+    first = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log(1 - p)
+    # Twelve deviations below the mean and more, nothing is left; at most so many terms, never k of them.
+    steps = F.sequence(F.lit(0).cast("long"), F.least(k, F.ceil(12 * F.sqrt(n * p + 1.0)) + 50).cast("long"))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = F.when(i == 0, first).otherwise(acc["term"] + F.log((n - i + 1) / F.greatest(i, F.lit(1))) + odds)
-        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+        at = k - i
+        next_ = acc["term"] + F.log(F.greatest(at, F.lit(1.0)) / (n - at + 1)) + math.log((1 - p) / p)
+        return F.struct(next_.alias("term"), (acc["sum"] + F.exp(acc["term"])).alias("sum"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["sum"])
 
