@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import partitions, slices, stored, texts
 
 #: Words remembered for each worker before the memory is dropped and begun anew.
-REMEMBER = 750_000
+REMEMBER = 400_000
 #: Nodes that the search may visit before it returns the best plan met.
 NODES = 20_000
 

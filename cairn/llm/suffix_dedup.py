@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,8 +204,8 @@ def spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD) -> DataFrame:
-    """(uid, th, cover array<struct<a, b>>) of docs(uid, th, text): what each text repeats, as overlapping byte intervals."""
+def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, read: Callable[[str], bytes] = str.encode) -> DataFrame:
+    """(uid, th, cover array<struct<a, b>>) of docs(uid, th, text): what each text, as `read` gives its bytes, repeats, as overlapping byte intervals."""
     spark = docs.sparkSession
     reach = length - lead
     signed = lambda x: pa.array(x.view(np.int64))
@@ -213,12 +213,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for text, place, key, context, left, right in anchors([t.encode() for t in b.column("text").to_pylist()], length, lead):
+            for text, place, key, context, left, right in anchors([read(t) for t in b.column("text").to_pylist()], length, lead):
                 of = np.unique(np.stack([text, place]), axis=1, return_index=True)[1]  # segments of a long text share anchors
                 at = pa.array(text[of])
                 yield pa.RecordBatch.from_arrays([b.column("uid").take(at), b.column("th").take(at), pa.array(place[of]), signed(key[of]), signed(context[of]), pa.array(left[of].astype(np.int32)), pa.array(right[of].astype(np.int32))], names=["uid", "th", "place", "key", "context", "left", "right"])
 
-    found = stored(docs.where(F.octet_length("text") >= length).mapInArrow(sample, wide))
+    found = stored(docs.mapInArrow(sample, wide))
     # Stored, so that the join below deals both sides anew and can split a leading string that very many texts share.
     keys = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1"))
     members = stored(found.join(keys, "key").withColumn("plain", F.col("low") == F.col("high")).drop("n", "low", "high"))
@@ -231,7 +231,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
         for b in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for text, want_ in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
-                body = text.encode()
+                body = read(text)
                 for w in want_:
                     for col, x in zip(out, (w["key"], w["context"], w["m"], w["left"], body[w["place"] : w["place"] + 24], body[w["place"] - w["left"] : w["place"] + w["right"]])):
                         col.append(x)
@@ -294,16 +294,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int
     return cover.groupBy("uid", "th").agg(F.collect_set("span").alias("cover"))
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """docs(uid, th, text) with each word as CODE letters of its hash: words, not bytes, are what windows then count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_digest
-        for b in slices(batches):
-            out = [base64.b64encode(b"".join([digest(w)[:6] for w in t.encode().split()])).decode() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("th"), pa.array(out, pa.string())], names=["uid", "th", "text"])
-
-    return docs.mapInArrow(run, "uid long, th long, text string")
+def coded(text: str) -> bytes:
+    """A text with each word as CODE letters of its hash: words, not bytes, are what windows then count."""
+    digest = xxhash.xxh3_64_digest
+    return base64.b64encode(b"".join([digest(w)[:6] for w in text.encode().split()]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), keep_text: bool = False, words: int | None = None, long_word: int | None = None) -> DataFrame:
@@ -317,12 +311,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crow
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in keep if c not in (id_col, text_col)))
     named = named.withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")).withColumn("th", F.xxhash64("text", F.lit("text")))
     by_bytes = named.where(F.col("text").rlike(r"[^\x20\x09-\x0D]{%d}" % long_word)) if words and long_word else named
-    cover = repeated(by_bytes.select("uid", "th", "text"), length, lead, crowd)
+    cover = repeated(by_bytes.where(F.octet_length("text") >= length).select("uid", "th", "text"), length, lead, crowd)
     rest = [c for c in named.columns if c not in ("doc_id", "text", "uid", "th")]
     base = named.join(cover, ["uid", "th"], "left")
     if words:
         # The leading string is two fifths of a window, as LEAD is of LENGTH, in whole words.
-        said = repeated(coded(named.select("uid", "th", "text")), CODE * words, CODE * max(1, 2 * words // 5), crowd)
+        long_enough = named.where(F.octet_length("text") >= 2 * words - 1).select("uid", "th", "text")
+        said = repeated(long_enough, CODE * words, CODE * max(1, 2 * words // 5), crowd, coded)
         base = base.join(said.withColumnRenamed("cover", "said"), ["uid", "th"], "left")
     base = base.select("doc_id", "text", "cover", *["said"] * bool(words), *rest)
     kinds = {f.name: f for f in base.schema.fields}

@@ -39,7 +39,7 @@ STEMS = (4, 5, 6)
 #: Labelled documents of each class that the model is fitted on at most; features of each direction kept at most.
 SAMPLE = 8000
 FEATURES = 20_000
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Pseudo-count of every token beside its share of the pooled prior; occurrences in one document that count.
 FLAT = 0.5
 OFTEN = 3
@@ -69,6 +69,10 @@ class Weights(dict):
         return out
 
 
+#: The words that this worker remembers, of one model at a time.
+_seen: Weights | None = None
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -77,21 +81,12 @@ class Model:
     size: float = 1.0  # K
     curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)
 
-    def __post_init__(self):
-        self.seen = Weights(self.weights, self.other)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "seen"}
-
-    def __setstate__(self, state):
-        self.__dict__ = dict(state)
-        self.__post_init__()
-
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Of each word: the highest log-odds of the word and its beginnings if one is positive, else the lowest, or `other` where none is known."""
-        if len(self.seen) > REMEMBER:
-            self.seen.clear()
-        return np.fromiter(map(self.seen.__getitem__, words), float, len(words))
+        global _seen
+        if _seen is None or _seen.weights is not self.weights or _seen.other != self.other or len(_seen) > REMEMBER:
+            _seen = Weights(self.weights, self.other)
+        return np.fromiter(map(_seen.__getitem__, words), float, len(words))
 
     def bar(self, n: int) -> float:
         return math.log(self.size * max(n, 1))
