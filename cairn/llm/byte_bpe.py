@@ -18,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import slices, texts
 
 #: Pieces, and transitions, remembered for each worker before the memory is dropped and begun anew.
-REMEMBER = 500_000
+REMEMBER = 750_000
 TRANSITIONS = 1_000_000
 #: The rank of what is never merged.
 NEVER = 1 << 40
@@ -180,13 +181,10 @@ class ByteBPE:
         self.tokens = [b""] * size
         for t, i in self.ranks.items():
             self.tokens[i] = t
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.offsets = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.decimal = [str(i) for i in range(size)]
         #: Tokens that begin and end between characters: the machine stays in state 0 over them.
         self.whole = np.array([self._after(0, t) == 0 for t in self.tokens])
         self.raw: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
 
     @staticmethod
     def _after(state: int, token: bytes) -> int:
@@ -194,24 +192,23 @@ class ByteBPE:
             state = utf8_step(state, byte)
         return state
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, cut: Iterable[list[str]]) -> None:
+        """Ids of the pieces of some texts that are not known yet."""
         if len(self.raw) > REMEMBER:
             self.raw.clear()
-            self.text.clear()
-        for piece in set(pieces).difference(self.raw):
-            ids = [self.ranks[t] for t in self.fst.run(piece.encode())]
-            self.raw[piece] = np.array(ids, "<u4").tobytes()
-            self.text[piece] = " ".join(map(str, ids))
+        new: set[str] = set()
+        for pieces in cut:
+            new.update(filterfalse(self.raw.__contains__, pieces))
+        for piece in new:
+            self.raw[piece] = np.array([self.ranks[t] for t in self.fst.run(piece.encode())], "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         pieces = self.pattern.findall(text)
-        self.learn(pieces)
+        self.learn([pieces])
         return np.frombuffer(b"".join(map(self.raw.__getitem__, pieces)), "<u4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        n = self.lengths[ids]
-        start = np.cumsum(n) - n
-        return self.blob[np.repeat(self.offsets[ids] - start, n) + np.arange(int(n.sum()))].tobytes()
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def complete(self, ids: np.ndarray, state: int = 0) -> int:
         """The machine's state after ids: 0 when they end with a complete character. Only runs of tokens with partial characters are stepped through."""
@@ -260,10 +257,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for b in slices(batches):
             cols: list[list] = [[], [], [], [], []]
             cut = [bpe.pattern.findall(t) for t in b.column("text").to_pylist()]
-            bpe.learn(set().union(*cut))
+            bpe.learn(cut)
             for pieces in cut:
                 ids = np.frombuffer(b"".join(map(bpe.raw.__getitem__, pieces)), "<u4")
-                for col, x in zip(cols, (len(ids), hashlib.sha256(" ".join(map(bpe.text.__getitem__, pieces)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest(), bpe.complete(ids) == 0, ids.tolist() if keep_ids else None)):
+                listed = ids.tolist()
+                said = " ".join(map(bpe.decimal.__getitem__, listed)).encode()
+                for col, x in zip(cols, (len(listed), hashlib.sha256(said).hexdigest(), hashlib.sha256(bpe.decode(listed)).hexdigest(), bpe.complete(ids) == 0, listed if keep_ids else None)):
                     col.append(x)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             made = [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))]
