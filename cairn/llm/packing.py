@@ -33,6 +33,8 @@ from .common import partitions, slices, stored, texts
 
 #: Words remembered for each worker before the memory is dropped and begun anew.
 REMEMBER = 400_000
+#: Pieces that one block of a length holds on average where all have that length.
+BLOCK = 50_000
 #: Nodes that the search may visit before it returns the best plan met.
 NODES = 20_000
 
@@ -328,7 +330,10 @@ def _listed(runs: tuple | None) -> list[tuple[tuple[int, ...], int]]:
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer_path, size, separator, id_col, text_col).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * partitions(spark))).cast("int")))
+    cut = stored(pieces(docs, tokenizer_path, size, separator, id_col, text_col))
+    # Pieces of one length are ranked in blocks of BLOCK or so, at least four for each task.
+    blocks = max(4 * partitions(spark), -(-cut.count() // BLOCK))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     sizes = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     places, base, used = [], 0, dict.fromkeys(counts, 0)
