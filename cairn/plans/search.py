@@ -182,7 +182,8 @@ def _shown(merged: DataFrame) -> DataFrame:
 
 def two_hop_expansion(spark, sf):
     """The fused list of dense and sparse search, and a second hop to what defines the symbols that its best rows use."""
-    primary = R.cut(R.fuse_weighted({"dense": _dense(spark, sf, 40), "sparse": _sparse(spark, sf, 40)}), K)
+    # K rows a query: read for its seeds, and again for the merged list.
+    primary = R.cut(R.fuse_weighted({"dense": _dense(spark, sf, 40), "sparse": _sparse(spark, sf, 40)}), K).persist()
     return _shown(R.merge_hop(primary, R.second_hop(primary, _asked(spark, sf), _chunks(spark, sf)), K))
 
 
