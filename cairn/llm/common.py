@@ -14,7 +14,7 @@ from cairn.sources.tables import spread
 
 #: Rows, and bytes, that a worker turns into Python objects at a time.
 TEXT_BATCH = 256
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 
 def text_batches(spark: SparkSession, size: int = TEXT_BYTES) -> None:
