@@ -9,6 +9,9 @@
    the result). Texts that meet at a shingle and are not joined yet are compared: neighbours first, then, of each shingle's
    texts, those outside its largest component with all others. Sizes and a parity sketch (its differing bits are no more than
    the differing shingles) rule out most pairs before whole sets are compared.
+3. In a sketch of a large text all places are even odds, so that every two that share a passage would pass. Their shingles are
+   dealt into parts by hash: two near copies are near copies in one part at least (if more than a ninth differed in each, more
+   would in all), so that prefixes, sizes and sketches are those of parts, which are as small as other texts.
 
 Shingles are 64-bit hashes of five lower-cased (A-Z) words; a shorter text is one shingle. Texts with the same words are one text
 (64-bit hash), and those without words are copies of each other; nulls count as empty. Rows that repeat count as copies.
@@ -41,8 +44,14 @@ COMMON = 200_000
 #: Words of 64 bits in a sketch.
 SKETCH = 8
 MARKS = [f"x{i}" for i in range(SKETCH)]
+PIECE = f"part: int, size: int, {', '.join(f'{m}: long' for m in MARKS)}"
 #: Texts of more shingles than this have a second sketch, of so many words: in the first, nearly all places of theirs are even odds.
 LARGE, SECOND = 1024, 128
+#: Texts of up to 5/4 of this many shingles are one part; level l, of up to 4 ** l times as many, has 4 ** l parts. Levels overlap by 5/4, so that any two that may link share one.
+PART = 512
+LEVELS = 8
+#: Shingles of a text that a row tells before its own; more or fewer change how often a pair is met, never which.
+BEFORE = 8
 #: Texts of one shingle that stand in one line when neighbours are compared; lines of a larger group are joined by their first texts.
 LINE = 4096
 
@@ -69,19 +78,44 @@ def sketch(found: np.ndarray, words: int = SKETCH) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def levels(n: int) -> list[int]:
+    """The levels at which a text of n shingles has parts, one or two; the last one has no end."""
+    return [k for k in range(LEVELS) if (not k or n > PART * 4 ** (k - 1)) and (k == LEVELS - 1 or Q * PART * 4**k >= P * n)]
+
+
+def part_of(found: np.ndarray, level: int) -> np.ndarray:
+    return found >> 32 & 4**level - 1
+
+
 def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The shingles, rarest first, among which every text that is near enough shares one."""
-    n = len(found)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.lexsort((found, np.where(common[at] == found, count[at], 0)))]
-    return found[: n - (P * n + Q - 1) // Q + 1] if n else found
+    """Of each part the shingles, rarest first, among which that of every text that is near enough shares one; a shingle's last three bits are the level."""
+    out = [found[:0]]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    met = np.where(common[at] == found, count[at], 0) if len(common) else np.zeros(len(found), np.int64)
+    for level in levels(len(found)):
+        part = part_of(found, level)
+        order = np.lexsort((found, met, part))
+        size = np.bincount(part, minlength=4**level)
+        rank = np.arange(len(found)) - np.repeat(np.cumsum(size) - size, size)
+        out.append(found[order][rank < np.repeat(size - (P * size + Q - 1) // Q + 1, size)] & ~7 | level)
+    return np.concatenate(out)
+
+
+def parts(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(part, size, sketch) of the parts of a text that has several; a part's number is level | place << 3."""
+    out = []
+    for level in filter(None, levels(len(found))):
+        part = part_of(found, level)
+        size = np.bincount(part, minlength=4**level)
+        bits = np.bincount(part * 64 * SKETCH + (found & 64 * SKETCH - 1), minlength=4**level * 64 * SKETCH).astype(np.uint8) & 1
+        out += [(level | i << 3, size[i], x) for i, x in enumerate(np.packbits(bits).view(np.int64).reshape(-1, SKETCH)) if size[i]]
+    return out
 
 
 def named(docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows with _cairn_row, _cairn_node (hash of the words), _cairn_fp (fingerprint), _cairn_size (distinct shingles), the sketch in _cairn_x0 .., that of large texts in _cairn_large and, on a batch's first row, _cairn_hot: its shingles that repeat."""
+    """Rows with _cairn_row, _cairn_node (hash of the words), _cairn_fp (fingerprint), _cairn_size (distinct shingles), the sketch in _cairn_x0 .., those of large texts in _cairn_large and, by part, in _cairn_parts and, on a batch's first row, _cairn_hot: its shingles that repeat."""
     at = docs.columns.index(text_col)
-    more = f"_cairn_node long, _cairn_fp long, _cairn_size int, {', '.join(f'_cairn_{m} long' for m in MARKS)}, _cairn_large array<long>, _cairn_hot array<struct<h: long, n: int>>"
+    more = f"_cairn_node long, _cairn_fp long, _cairn_size int, {', '.join(f'_cairn_{m} long' for m in MARKS)}, _cairn_large array<long>, _cairn_parts array<struct<{PIECE}>>, _cairn_hot array<struct<h: long, n: int>>"
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(more).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +126,13 @@ def named(docs: DataFrame, text_col: str) -> DataFrame:
             h, n = np.unique(np.concatenate(sets), return_counts=True)
             hot = pa.StructArray.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1].astype(np.int32))], names=["h", "n"])
             ends = pa.array([0, *[len(hot)] * len(found)], pa.int32())
+            several = [parts(x) for x in sets]
+            flat = [p for some in several for p in some]
+            marks = np.stack([x for _, _, x in flat]) if flat else np.zeros((0, SKETCH), np.int64)
+            cut = pa.StructArray.from_arrays([pa.array([p for p, _, _ in flat], pa.int32()), pa.array([n for _, n, _ in flat], pa.int32()), *(pa.array(c) for c in marks.T.copy())], names=["part", "size", *MARKS])
+            cuts = pa.array(np.r_[0, np.cumsum([len(some) for some in several])].astype(np.int32))
             prints = np.frombuffer(b"".join(majority(raw) for _, raw in found), ">i8").astype(np.int64)
-            made = [pa.array([k for k, _ in found], pa.int64()), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(c) for c in drawn.T.copy()), pa.array([sketch(x, SECOND) if len(x) > LARGE else None for x in sets], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, hot)]
+            made = [pa.array([k for k, _ in found], pa.int64()), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(c) for c in drawn.T.copy()), pa.array([sketch(x, SECOND) if len(x) > LARGE else None for x in sets], pa.list_(pa.int64())), pa.ListArray.from_arrays(cuts, cut), pa.ListArray.from_arrays(ends, hot)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.names)
 
     return docs.mapInArrow(run, schema).withColumn("_cairn_row", F.monotonically_increasing_id())
@@ -123,7 +162,9 @@ def meetings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     twice = stored(starts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = stored(starts.join(twice.select("key").hint("merge"), "key").distinct())
     forget(starts, twice)
-    several = stored(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # Of shingles that the very same texts have (a count and 128 bits of hashes of theirs agree) one is enough: any two that meet at one meet at all.
+    same = (F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(x))).alias(x) for x in "gh"))
+    several = stored(met.groupBy("key").agg(*same).where("n > 1").groupBy("n", "g", "h").agg(F.min("key").alias("key")))
     out = stored(met.join(several.hint("merge"), "key").select("key", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LINE)).alias("line")))
     forget(met, several)
     return out
@@ -173,10 +214,12 @@ def neighbours(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def linked(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """Edges (a, b) between nodes of texts(node, fp, size, x0.., large, text), one row a node or several, that span every component of near copies."""
+    """Edges (a, b) between nodes of texts(node, fp, size, x0.., large, parts, text), one row a node or several, that span every component of near copies."""
     met = meetings(texts, common)
     nodes = stored(met.select("node").distinct())
-    drawn = stored(texts.join(nodes, "node").select("node", "fp", "size", "large", *MARKS).distinct())
+    drawn = stored(texts.join(nodes, "node").select("node", "fp", "size", "large", "parts", *MARKS).distinct())
+    own = drawn.where(Q * PART >= P * F.col("size")).select("node", F.lit(0).alias("part"), "size", *MARKS)
+    pieces = stored(own.unionByName(drawn.select("node", F.explode("parts").alias("p")).select("node", "p.*")))
     # 1. Fingerprints at the anchors of the covering code.
     heads = stored(drawn.groupBy("fp").agg(F.min("node").alias("head")))
     at = lambda x: heads.select(F.col("fp").alias(f"f{x}"), F.col("head").alias(x))
@@ -189,13 +232,17 @@ def linked(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], bits: int =
     # 3. What is still apart: each shingle's texts outside its largest component with all others.
     side = stored(met.drop("line").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = stored(side.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
-    marked = stored(side.join(sizes, "key").join(drawn.drop("fp", "large"), "node"))
-    a, b = marked.where("root <> main").alias("a"), marked.alias("b")
+    part = F.expr("cast(key & 7 | (shiftrightunsigned(key, 32) & (shiftleft(1L, cast(2 * (key & 7) as int)) - 1)) * 8 as int)")
+    marked = stored(side.join(sizes, "key").withColumn("part", part).join(pieces, ["node", "part"]))
+    # Two that share several shingles of a part meet at the least; where both tell a shared one before, they have met.
+    line = Window.partitionBy("node", "part").orderBy("key").rowsBetween(-BEFORE, -1)
+    told = stored(marked.withColumn("before", F.collect_list("key").over(line)))
+    a, b = told.where("root <> main").alias("a"), told.alias("b")
     of = lambda x: {c: F.col(f"{x}.{c}") for c in ("size", *MARKS)}
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & may_link(of("a"), of("b")))
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & may_link(of("a"), of("b")) & ~F.arrays_overlap("a.before", "b.before"))
     last = proven(cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), drawn, texts)
-    forget(met, nodes, heads, side, sizes, marked, drawn)
+    forget(met, nodes, heads, side, sizes, marked, told, pieces, drawn)
     return first.unionByName(last)
 
 
@@ -203,7 +250,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Of each component of near copies the row with the smallest id (nulls last), all columns as they are. Rows of different components stay, whatever their ids."""
     text_batches(docs.sparkSession)
     rows = stored(named(docs, text_col))
-    texts = rows.select(*(F.col(f"_cairn_{c}").alias(c) for c in ("node", "fp", "size", "large", *MARKS)), F.col(text_col).cast("string").alias("text"))
+    texts = rows.select(*(F.col(f"_cairn_{c}").alias(c) for c in ("node", "fp", "size", "large", "parts", *MARKS)), F.col(text_col).cast("string").alias("text"))
     parts = stored(components(linked(texts, common_shingles(rows))))
     ids = rows.select("_cairn_row", "_cairn_node", F.col(id_col).cast("long").alias("id")).join(parts.withColumnRenamed("node", "_cairn_node"), "_cairn_node", "left")
     # Stored, so that the planner knows its size before it chooses the join with the texts.

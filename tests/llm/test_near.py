@@ -55,3 +55,32 @@ def test_shingles_on_table(spark):
     kept = C.near_duplicates(spark, docs, "/root/testdata/sf0.01")
     at = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(at[i][0] for i in brute([t for _, t in at]))
+
+
+def test_large_texts_that_share_a_passage(spark, monkeypatch):
+    """Large texts of one passage are no candidates, one candidate pair is made seldom more than once, and near copies at all levels of parts are found."""
+    from cairn.llm import shingles as S
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = some(60)
+    texts = [some(rng.randrange(300, 1500)) + passage + some(rng.randrange(300, 1500)) for _ in range(40)]
+    for n in (500, 600, 650, 800, 1900, 2100, 2600, 5200, 9000):
+        base = some(n)
+        for share in (0.01, 0.02, 0.022, 0.03):
+            copy = [rng.choice(words) if rng.random() < share else w for w in base]
+            texts.append(copy[: n - rng.randrange(n // 20)])
+    texts = [" ".join(w) for w in texts]
+    made, real = [], S.proven
+
+    def proven(pairs, *rest):
+        made.append((pairs.count(), pairs.distinct().count()))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(S, "proven", proven)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute(texts)
+    assert {r["doc_id"] for r in S.one_of_each(docs).collect()} == want and 45 < len(want) < len(texts)
+    rows, pairs = made[1]
+    assert pairs <= 50 and rows <= 500
