@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What 51 successive words cover that also stand elsewhere goes; so do bytes covered by a repeated string of 400 bytes in texts that hold a word of 100 bytes or more (scripts without spaces, encoded blobs). n_chars follows. All documents stay, if with empty text."""
+    """What 51 successive words cover that also stand elsewhere goes; so do, in all texts, bytes covered by a repeated string of 400 bytes, which fewer words may fill. n_chars follows. All documents stay, if with empty text."""
     own = lambda c: f"_cairn_{c}"  # noqa: E731  so that no column of a document is taken for one of the operator's
-    out = remove_repeats(docs.toDF(*map(own, docs.columns)), length=400, id_col=own("doc_id"), text_col=own("text"), keep=[own(c) for c in docs.columns], keep_text=True, words=51, long_word=100)
+    out = remove_repeats(docs.toDF(*map(own, docs.columns)), length=400, id_col=own("doc_id"), text_col=own("text"), keep=[own(c) for c in docs.columns], keep_text=True, words=51)
     made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
     return out.select(*(made.get(c, F.col(own(c))).alias(c) for c in docs.columns))
 

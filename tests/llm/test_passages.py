@@ -23,3 +23,18 @@ def test_words(spark):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["text"].split() for r in C.repeated_passages(spark, docs, "").select("doc_id", "text").collect()}
     assert [got[i] for i in range(len(rows))] == want and sum(map(len, want)) < sum(map(len, rows))
+
+
+def test_bytes_of_few_words(spark):
+    """A string of 400 bytes that stands twice goes though it has far fewer than 51 words, none of them long; one of 399 bytes stays."""
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(19)) for _ in range(n))
+    twice, less = some(20) + ".", some(20)[:399]
+    assert len(twice) == 400 and len(less) == 399
+    texts = [f"1 {some(30)} {twice}1 {some(9)}", f"2{twice}2", f"1{less}1 {some(4)}", f"2{less}2", some(60)]
+    want = [texts[0].replace(twice, ""), "22", *texts[2:]]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.repeated_passages(spark, docs, "").select("doc_id", "text", "n_chars").collect()}
+    assert [got[i] for i in range(len(texts))] == [(t, len(t)) for t in want]
