@@ -20,7 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse, islice
+from itertools import accumulate, chain, compress, islice
 from operator import neg
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, slices, stored, texts
 
-#: Words remembered for each worker before the memory is dropped and begun anew.
+#: Words remembered for each worker, in two halves: when the newer is full the older is dropped, but for words met meanwhile.
 REMEMBER = 400_000
 #: Pieces that one block of a length holds on average where all have that length.
 BLOCK = 50_000
@@ -41,6 +41,8 @@ NODES = 20_000
 
 #: Fixed value: the split of words that the supported tokenizer files make after lower-casing.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What lies beyond the Latin letters.
+BEYOND = re.compile("[^\x00-\u024f]")
 
 
 class WordIds:
@@ -63,7 +65,8 @@ class WordIds:
         suffix, vocab = said["model"]["end_of_word_suffix"], said["model"]["vocab"]
         self.ends = np.zeros(max([*vocab.values(), *(x["id"] for x in said["added_tokens"])]) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.tokenizer, self.split, self.seen, self.parts = Tokenizer.from_file(path), regex.compile(WORDS), {}, {}
+        self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(WORDS)
+        self.seen, self.parts, self.seen_before, self.parts_before = {}, {}, {}, {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
@@ -82,32 +85,50 @@ class WordIds:
                 out += self._whole(some)
         return out
 
+    def _odd(self, word: str) -> bool:
+        return not (word.isascii() or unicodedata.is_normalized("NFC", word) and "\u03a3" not in word) or self.special.search(word) is not None
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember the ids of words; all are checked, lower-cased and decoded as one string, and only what that finds odd is looked at word by word."""
+        text, whole = b" ".join(new).decode(), []
+        if self._odd(text):
+            whole = [raw for raw in new if self._odd(raw.decode())]
+            new = list(set(new).difference(whole))
+            text = b" ".join(new).decode()
+        text = text.lower()
+        low = text.split(" ") if new else []
+        # A word of Latin letters alone is one part; letters beyond are left to the split, whose tables may be newer.
+        latin = text.isascii() or not BEYOND.search(text)
+        one = [w.isalpha() and (latin or not BEYOND.search(w)) for w in low]
+        several = {raw: self.split.findall(w) for raw, w, x in zip(new, low, one) if not x}
+        parts = set(compress(low, one)).union(*several.values()).difference(self.parts)
+        met = parts & self.parts_before.keys()
+        self.parts.update(zip(met, map(self.parts_before.__getitem__, met)))
+        parts = list(parts - met)
+        self.parts.update(zip(parts, self._encode(parts)))
+        get = self.parts.__getitem__
+        self.seen.update(zip(compress(new, one), map(get, compress(low, one))))
+        self.seen.update((raw, b"".join(map(get, x))) for raw, x in several.items())
+        self.seen.update(zip(whole, self._whole([raw.decode() for raw in whole])))
+
     def ids(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.encode().split() for t in batch]
-        if len(self.seen) > REMEMBER:
-            self.seen.clear()
-            self.parts.clear()
-        known = self.seen.__contains__
-        easy, odd = set(), set()
-        for text, words in zip(batch, cut):
-            (easy if text.isascii() and not self.special.search(text) else odd).update(filterfalse(known, words))
-        plain, whole = dict.fromkeys(easy), []
-        for raw in plain:
-            plain[raw] = self.split.findall(raw.decode().lower())
-        for raw in odd.difference(easy):
-            word = raw.decode()
-            if not (raw.isascii() or unicodedata.is_normalized("NFC", word) and "\u03a3" not in word) or self.special.search(word):
-                whole.append((raw, word))
-            else:
-                plain[raw] = self.split.findall(word.lower())
-        new = list(set().union(*plain.values()).difference(self.parts))
-        self.parts.update(zip(new, self._encode(new)))
-        get = self.parts.__getitem__
-        self.seen.update((raw, b"".join(map(get, parts))) for raw, parts in plain.items())
-        self.seen.update(zip((raw for raw, _ in whole), self._whole([word for _, word in whole])))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        if 2 * len(self.seen) > REMEMBER:
+            self.seen, self.seen_before = {}, self.seen
+        if 2 * len(self.parts) > REMEMBER:
+            self.parts, self.parts_before = {}, self.parts
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.seen.get, flat))
+        lacks = [i for i, x in enumerate(found) if x is None]
+        new = set(map(flat.__getitem__, lacks))
+        met = new & self.seen_before.keys()
+        self.seen.update(zip(met, map(self.seen_before.__getitem__, met)))
+        self._learn(list(new - met))
+        for i in lacks:
+            found[i] = self.seen[flat[i]]
+        ends = list(accumulate(map(len, cut)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)

@@ -100,3 +100,23 @@ def test_bins_are_as_few_as_can_be(counts):
 @pytest.mark.parametrize("name", ["op7_best_fit_packing", "op8_token_counts", "op10_byte_bpe"])
 def test_empty_tables(spark, corpus, name):
     assert rows(spark, f"{corpus[1]}/none", name) == []
+
+
+def test_words_met_again_are_remembered(monkeypatch):
+    """Words of every batch are encoded once, however many others come and go, and ids are those of the library all the same."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cairn.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBER", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, plain, encoded = packing.WordIds(path), Tokenizer.from_file(path), []
+    real = words._encode
+    monkeypatch.setattr(words, "_encode", lambda parts: encoded.extend(parts) or real(parts))
+    always = "steady Words stay, straße İx ΑΣ ét́ ﬁn 梦12 <|endoftext|>'s"
+    for i in range(12):
+        batch = [f"{always} new{chr(97 + i)}{j} other{chr(97 + j)}{i}, ÄÖ{i}" for j in range(9)] + ["", " \n"]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in batch]
+        assert [list(memoryview(x).cast("I")) for x in words.ids(batch)] == want
+    assert encoded.count("steady") == encoded.count("straße") == 1
