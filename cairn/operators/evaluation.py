@@ -58,7 +58,8 @@ def auc(rows: DataFrame) -> DataFrame:
     Counted by distinct score; scores are dealt to parts at approximate quantiles, and what lies below a score is what earlier
     parts have, plus what its own part has below it. One row for each part is all that stands in one place.
     """
-    by = rows.groupBy("score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("n"))
+    # A row a distinct score, read three times: the scores are computed once.
+    by = rows.groupBy("score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("n")).persist()
     cuts = by.agg(F.percentile_approx("score", [i / AUC_PARTS for i in range(1, AUC_PARTS)])).first()[0] or []
     dealt = by.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("score"))))
     sizes = dealt.groupBy("part").agg(F.sum("n").alias("m"), F.min("score").alias("low"))
@@ -71,9 +72,11 @@ def auc(rows: DataFrame) -> DataFrame:
 
 def class_overlap(rows: DataFrame) -> DataFrame:
     """Least, median and largest score of either class, and how many lie where the classes overlap."""
-    stats = rows.groupBy("present").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.percentile("score", 0.5).alias("mid"), F.max("score").alias("high"))
+    # A row a class and distinct score, read three times: the scores are computed once.
+    by = rows.groupBy("present", "score").agg(F.count("*").alias("m")).persist()
+    stats = by.groupBy("present").agg(F.sum("m").alias("n"), F.min("score").alias("low"), F.percentile("score", 0.5, F.col("m")).alias("mid"), F.max("score").alias("high"))
     span = stats.agg(F.max(F.when(F.col("present"), F.col("low"))).alias("a"), F.max(F.when(~F.col("present"), F.col("high"))).alias("b"))  # one row
-    inside = rows.join(F.broadcast(span), (F.col("score") >= F.col("a")) & (F.col("score") <= F.col("b"))).groupBy("present").agg(F.count("*").alias("inside"))
+    inside = by.join(F.broadcast(span), (F.col("score") >= F.col("a")) & (F.col("score") <= F.col("b"))).groupBy("present").agg(F.sum("m").alias("inside"))
     return stats.join(inside, "present", "left").select("present", "n", F.round("low", 6).alias("low"), F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"), F.coalesce("inside", F.lit(0)).alias("inside"))
 
 
