@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that the lexer drops before folding, whatever their case.
@@ -32,14 +34,17 @@ HEAVY, MODERATE = 0.30, 0.65
 
 #: One alternation that skips comments, quoted text and numbers, and stops at words.
 LEXER = r"""//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|"(?:\\(?s:.)|[^"\\])*(?:"|\\?\z)|'(?:\\(?s:.)|[^'\\])*(?:'|\\?\z)|\p{Nd}[\p{L}\p{Nd}._]*|\p{L}[\p{L}\p{Nd}]*"""
-CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
-PLURAL, VOWEL = "^(.{3,}[^s])s$", "^(.{4,})[aoe]$"
+#: The same for Java: a part of a word up to its next camel-case border, with the gap behind it, or whatever else is skipped. Possessive, so that long quotes need no stack.
+_GAP = r"""[^/"'\p{L}\p{Nd}]"""
+PARTS = (
+    r"(\p{L}(?:[a-z\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}]++|(?<!\p{Ll})(?!(?<=\p{Lu})\p{Lu}\p{Ll})\p{Lu})*+)" + f"{_GAP}*+|{_GAP}++|"
+    r"""\p{Nd}[\p{L}\p{Nd}._]*+|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\\?\z)|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+(?:'|\\?\z)|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|/"""
+)
 
 
 def words(text: Column) -> Column:
     """Words outside comments, quotes and numbers, parted at camel-case borders."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(LEXER), F.lit(0)), lambda w: w.rlike(r"^\p{L}"))
-    return F.flatten(F.transform(found, lambda w: F.split(w, CAMEL)))
+    return F.array_remove(F.split(F.regexp_replace(text, PARTS, "$1 "), " "), "")
 
 
 def fold(word: Column) -> Column:
@@ -48,7 +53,10 @@ def fold(word: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Drop a final s (not ss), then a final a, o or e, from words of five letters or more."""
-    return F.regexp_replace(F.regexp_replace(word, PLURAL, "$1"), VOWEL, "$1")
+    n, ends = F.length(word), lambda *tails: reduce(lambda a, b: a | b, (word.endswith(t) for t in tails))
+    less = lambda k: F.left(word, n - k)
+    plural = F.when(ends("as", "os", "es") & (n > 5), less(2)).otherwise(less(1))
+    return F.when((n < 5) | word.endswith("ss"), word).when(word.endswith("s"), plural).when(ends("a", "o", "e"), less(1)).otherwise(word)
 
 
 def stemmed(words_: list[str]) -> list[str]:
@@ -67,9 +75,8 @@ _HEAVY, _MODERATE = frozenset(stemmed(HEAVY_WORDS)), frozenset(stemmed(MODERATE_
 
 def terms(text: Column) -> Column:
     """Index terms of a text, repeats included."""
-    drop = F.array(*(F.lit(w) for w in sorted({*STOP_WORDS, *DROPPED_WORDS})))
-    kept = F.filter(words(text), lambda w: F.length(w).between(MIN_TERM, MAX_TERM) & ~F.array_contains(drop, F.lower(w)))
-    return F.transform(kept, lambda w: stem(fold(w)))
+    kept = F.filter(words(text), lambda w: F.length(w).between(MIN_TERM, MAX_TERM) & ~F.lower(w).isin(sorted({*STOP_WORDS, *DROPPED_WORDS})))
+    return F.transform(F.transform(kept, fold), stem)
 
 
 def idf(term: Column) -> Column:
@@ -125,6 +132,44 @@ def bucket(term: Column) -> Column:
     return murmur3(term) % INDEX_SIZE
 
 
+def bucket_of(term: str) -> int:
+    """The same in Python."""
+    mask, u, h = 0xFFFFFFFF, [ord(c) for c in term], 0xDEADC0DE
+
+    def mixed(k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        return (k << 15 | k >> 17) * 0x1B873593 & mask
+
+    for a, b in zip(u[::2], u[1::2]):
+        h ^= mixed(a + b * 65536)
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    if len(u) % 2:
+        h ^= mixed(u[-1])
+    h ^= len(u)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return (h ^ h >> 16) % INDEX_SIZE
+
+
+def with_bucket(postings: DataFrame, remembered: int = 1 << 18) -> DataFrame:
+    """(id, term_index, weight) of postings(id, term, weight): a worker hashes a term once, so that nothing is joined or lexed again for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            coded = b.column("term").dictionary_encode()
+            if len(known) > remembered:
+                known.clear()
+            index = []
+            for t in coded.dictionary.to_pylist():
+                if (at := known.get(t)) is None:
+                    at = known[t] = bucket_of(t)
+                index.append(at)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(index, pa.int64()).take(coded.indices), b.column("weight")], names=["id", "term_index", "weight"])
+
+    return postings.select("id", "term", "weight").mapInArrow(run, "id long, term_index long, weight double")
+
+
 def token_estimate(text: Column) -> Column:
     """Four characters to a token, rounded up; none for empty."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4.0).cast("long")

@@ -71,9 +71,7 @@ SPARSE_TERMS = f"WITH {Q.terms('post', 'documents', 'doc_id', 'text')} SELECT id
 
 def sparse_vector_hashed(spark, sf):
     post = R.postings(documents(spark, sf), "doc_id", "text")
-    # A term is hashed once, not once for each document.
-    hashed = post.select("term").distinct().withColumn("term_index", T.bucket(F.col("term")))
-    return post.join(hashed, "term").groupBy(F.col("id").alias("doc_id"), "term_index").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    return T.with_bucket(post).groupBy(F.col("id").alias("doc_id"), "term_index").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
 _M = "4294967296"

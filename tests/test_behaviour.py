@@ -328,3 +328,32 @@ def test_llm_stays_apart():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "cairn.llm" not in p.read_text() and "from .llm" not in p.read_text()
+
+
+def test_lexer_holds_long_quotes_and_parts_words(spark):
+    """A quote of 200,000 characters overflowed the stack of the lexer; its parts and stems stay as they were."""
+    texts = ["a word '" + "b c " * 50_000, "a \"" + "\\\" x" * 50_000 + "\" after", "HTTPServer getX aBCd classes tablas clases sas İs ΑΣ 12ab x1Y2 don't \"quoted\" /* c */ rest // end"]
+    assert column(spark, texts, T.terms) == [["word"], ["after"], ["http", "server", "cd", "class", "tabl", "clas", "sas", "i̇s", "ας", "x1y2", "don"]]
+
+
+def test_terms_are_hashed_alike(spark):
+    words = ["", "a", "ab", "abc", "niño", "größe", "日本語", "x" * 128]
+    assert [T.bucket_of(w) for w in words] == column(spark, words, T.bucket)
+    rows = spark.createDataFrame([(i, w, 0.5) for i, w in enumerate(words)], "id long, term string, weight double")
+    assert sorted((r["id"], r["term_index"]) for r in T.with_bucket(rows, 2).collect()) == [(i, T.bucket_of(w)) for i, w in enumerate(words)]
+
+
+def test_scores_are_computed_once(spark):
+    """AUC and overlap read their scores from one pass, and give what pairs of rows give."""
+    rows = [(0.1, False), (0.4, True), (0.4, False), (0.5, False), (0.7, True), (0.4, True)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    frame = lambda: spark.createDataFrame(rows, "score double, present boolean").mapInArrow(run, "score double, present boolean")
+    assert E.auc(frame()).first().auc == round((1.5 + 1.5 + 3) / 9, 9) and calls.value == len(rows)
+    got = {r.present: (r.n, r.low, r.mid, r.high, r.inside) for r in E.class_overlap(frame()).collect()}
+    assert got == {True: (3, 0.4, 0.4, 0.7, 2), False: (3, 0.1, 0.4, 0.5, 2)} and calls.value == 2 * len(rows)
