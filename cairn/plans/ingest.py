@@ -282,9 +282,7 @@ CONTEXT_BUDGET_STOP = "SELECT source, doc_id FROM (SELECT source, doc_id, 20 + s
 
 
 def context_budget_skip(spark, sf):
-    g = documents(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("n")))).alias("xs"))
-    taken = g.select("source", F.explode(F.arrays_zip("xs", X.budget_skip(F.transform("xs", lambda x: x["n"])).alias("ok"))).alias("x"))
-    return taken.where("x.ok").select("source", "x.xs.doc_id")
+    return X.taken_within(documents(spark, sf).select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", "n")
 
 
 CONTEXT_BUDGET_SKIP = """WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
