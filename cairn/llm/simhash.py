@@ -156,7 +156,8 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
 
     spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
     crowd = spread.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    met = spread.join(crowd, "anchor").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # Spark sizes what a Python pass gives by the rows that go in, 31 times too low here, and would broadcast it.
+    met = spread.join(crowd.hint("merge"), "anchor").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("anchor", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     by = ["anchor", "low", "high"]
     return tiles.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(compare, "a long, b long").distinct()
@@ -167,10 +168,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, seed: in
     own = stored(prints(docs, words, seed, id_col, text_col))
     heads = stored(own.groupBy("fp").agg(F.min("doc_id").alias("head")))
     parts = components(links(heads, distance))
-    rooted = heads.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    rooted = heads.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return own.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(rooted: DataFrame) -> DataFrame:
@@ -184,5 +185,5 @@ def one_of_each(docs: DataFrame, distance: int = 3, words: int = 3, seed: int =
     own = stored(prints(named, words, seed, "_row", text_col).select(F.col("doc_id").alias("_row"), "fp"))
     parts = components(links(own.select("fp").distinct(), distance))
     ids = named.select("_row", F.col(id_col).cast("long").alias("id"))
-    rooted = own.join(ids, "_row").join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("_row", "id", F.coalesce("root", "fp").alias("root"))
-    return named.join(first_of_each(rooted), "_row", "left_semi").select(*docs.columns)
+    rooted = own.join(ids.hint("merge"), "_row").join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("_row", "id", F.coalesce("root", "fp").alias("root"))
+    return named.join(first_of_each(rooted).hint("merge"), "_row", "left_semi").select(*docs.columns)

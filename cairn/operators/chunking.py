@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.identity import chunk_id, content_hash, identity_key
 from cairn.functions.text import lines, token_estimate
+from cairn.sources.tables import slices, text_batches
 
 #: Part of provenance: raise it with any change of what chunkers give.
 CHUNK_CONTRACT = 1
@@ -215,12 +216,12 @@ def packed_paragraphs(rows: list[str], first: int, header: int, max_tokens: int
 def brace_chunks(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(id, kind, name, decorator, start_line, end_line, content) of files(id, text) in brace languages: one Arrow pass, one file at a time.
 
-    Blocks over the budget are split by paragraphs, so that several rows may bear one name. C# goes this way too, as an approximation without a syntax tree.
+    A worker holds about 2 MB of texts and what they give at a time. Blocks over the budget are split by paragraphs, so that several rows may bear one name. C# goes this way too, as an approximation without a syntax tree.
     """
     kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, cols = [], [[] for _ in kinds]
             for i, text in enumerate(b.column("text").to_pylist()):
                 rows = re.sub("\r\n?", "\n", text or "").split("\n")
@@ -231,6 +232,7 @@ def brace_chunks(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                             c.append(x)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["id", "kind", "name", "decorator", "start_line", "end_line", "content"])
 
+    text_batches(files.sparkSession)
     kind = files.schema["id"].dataType.simpleString()
     return files.select("id", "text").mapInArrow(run, f"id {kind}, kind string, name string, decorator string, start_line long, end_line long, content string")
 

@@ -84,3 +84,11 @@ def test_large_texts_that_share_a_passage(spark, monkeypatch):
     assert {r["doc_id"] for r in S.one_of_each(docs).collect()} == want and 45 < len(want) < len(texts)
     rows, pairs = made[1]
     assert pairs <= 50 and rows <= 500
+
+
+def test_no_join_of_links_is_sized_by_guess(spark):
+    """What a Python pass replicates 31 times is not broadcast for the size of what went in."""
+    from cairn.llm import simhash
+
+    heads = spark.range(1000).selectExpr("xxhash64(id) as fp", "id as head")
+    assert "Broadcast" not in simhash.links(heads)._jdf.queryExecution().executedPlan().toString()
