@@ -1,5 +1,6 @@
 """Behaviour that the contract fixes by example: fusion, stemming, ignore rules, percentiles, bounds, budgets, chunk lines, streams."""
 
+import random
 import uuid
 
 import pytest
@@ -398,4 +399,36 @@ def test_qualified_hop_keeps_pairs_apart(spark):
     targets = spark.createDataFrame([(9, "a", m) for m in ("o", "n", "p", "z", None)] + [(8, None, "m"), (8, "b", "m"), (9, "a", "n")], "query_id long, class_name string, method string")
     hop = R.qualified_hop(chunks, targets)
     assert sorted((r["query_id"], r["id"]) for r in hop.collect()) == [(8, 3), (9, 1), (9, 2)]
-    assert "query_id#" not in "".join(line for line in hop._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Aggregate [query_id") and " id#" in line)
+    assert "Distinct" not in (plan := hop._jdf.queryExecution().toString()) and "Deduplicate" not in plan
+
+
+def test_symbol_pairs_are_counted_not_formed(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.choice("xy"), f"s{rng.randrange(60)}", rng.choice(["defined", "consumed"])) for _ in range(400)]
+    symbols = spark.createDataFrame(rows, "id long, tenant string, symbol string, kind string")
+    want = {(t, a, b) for a, t, s, k in rows if k == "consumed" for b, u, z, m in rows if m == "defined" and (t, s) == (u, z) and a != b}
+    joined = N.symbol_join(symbols)
+    assert {r["tenant"]: r["pairs"] for r in joined.collect()} == {t: sum(x[0] == t for x in want) for t in "xy"}
+    assert "src" not in joined._jdf.queryExecution().toString()
+
+
+def test_sparse_search_forms_no_pairs(spark):
+    """More postings than a block holds: blocks of queries, the k best of each task, no join by term."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.choice('abcdefgh')}x{rng.randrange(9)}" for _ in range(rng.randrange(12)))) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = R.postings(docs.where("doc_id % 3 = 0"), "doc_id", "text")
+    few, many = (R.sparse_topk(asked, docs, 4, "doc_id", "text", limit=n) for n in (50, 10**6))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and "Join" not in few._jdf.queryExecution().toString()
+
+
+def test_walk_asks_for_the_frontier_alone(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 40) for i in range(40) for j in range(2)], "src long, dst long")
+    seeds, allowed = spark.createDataFrame([(0,), (3,)], "node long"), spark.createDataFrame([(i,) for i in range(40) if i % 5], "node long").union(spark.createDataFrame([(0,)], "node long"))
+    asked = []
+
+    def some(nodes):
+        asked.append({r["node"] for r in nodes.collect()})
+        return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+
+    assert sorted(map(tuple, N.walk(some, seeds, allowed, 2).collect())) == sorted(map(tuple, N.walk(edges, seeds, allowed, 2).collect()))
+    assert asked[0] == {0, 3} and all(len(a) < 40 for a in asked)
