@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.sharing import count_pairs
+
 
 def corpus_census(files: DataFrame) -> DataFrame:
     """(root, extension, state, files, unique_files, duplicates, unique_bytes) by root and over all ('*'), of files(root, extension, state, hash, size, walk).
@@ -28,25 +32,33 @@ def reduction(chunks: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def symbol_join(symbols: DataFrame) -> DataFrame:
-    """(tenant, pairs) of symbols(id, tenant, symbol, kind): distinct ordered pairs of a user and a definer in one tenant.
+    """(tenant, pairs) of symbols(id, tenant, symbol, kind): distinct ordered pairs of a user and a definer in one tenant."""
+    sets = symbols.groupBy("id", "tenant").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("symbol"))).alias(k) for k in ("defined", "consumed")))
+    return symbol_sets_join(sets)
+
+
+def symbol_sets_join(sets: DataFrame) -> DataFrame:
+    """The same of sets(id, tenant, defined, consumed), arrays of symbols.
 
-    A pair counts once however many symbols join it, so that pairs have to be formed: work grows with the users times the definers
-    of each symbol. It is a census of a join that is proposed, to see how large it would be; AQE splits the symbols that many share.
+    A pair counts once however many symbols join it. Pairs are bits of blocks of ids, which are counted and never stored: what
+    is stored are the sets. Work still grows with the square of a tenant, a 64th of an operation a pair and symbol.
     """
-    used = symbols.where("kind = 'consumed'").select("tenant", "symbol", F.col("id").alias("src"))
-    made = symbols.where("kind = 'defined'").select("tenant", "symbol", F.col("id").alias("dst"))
-    return used.join(made, ["tenant", "symbol"]).where("src <> dst").select("tenant", "src", "dst").distinct().groupBy("tenant").agg(F.count("*").alias("pairs"))
+    side = lambda kind: sets.select("tenant", F.col("id").cast("long").alias("id"), F.col(kind).alias("keys"))
+    return count_pairs(side("defined"), side("consumed"), "tenant")
 
 
-def walk(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, hops: int) -> DataFrame:
+def walk(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, allowed: DataFrame, hops: int) -> DataFrame:
     """(seed, node, hop): nodes within `hops` of a seed, over allowed nodes only at every hop, at their least distance.
 
-    edges(src, dst), seeds(node), allowed(node). One join for each hop; the frontier carries what is not yet visited.
+    edges(src, dst), seeds(node), allowed(node). Edges may be a function that gives those of nodes(node), which is asked at each hop for
+    the nodes of the frontier alone. One join for each hop; the frontier carries what is not yet visited.
     """
     seen = seeds.join(allowed, "node", "left_semi").select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("hop"))
     front = seen
-    links = edges.where("src <> dst").select("src", "dst").distinct()
     for hop in range(1, hops + 1):
+        if callable(edges):
+            front = front.persist()
+        links = (edges(front.select("node").distinct()) if callable(edges) else edges).where("src <> dst").select("src", "dst").distinct()
         reached = front.join(links, front["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct().join(allowed, "node", "left_semi")
         front = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).cast("long").alias("hop"))
         seen = seen.unionByName(front)
