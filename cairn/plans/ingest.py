@@ -250,8 +250,7 @@ SUMMARY_GROUPS = "SELECT source, lang, sha256(string_agg(sha256(text), '|' ORDER
 
 def symbol_join_census(spark, sf):
     d = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("tenant"), F.array_distinct(T.terms(F.col("text"))).alias("t"))
-    each = d.select("id", "tenant", F.posexplode("t").alias("i", "symbol")).select("id", "tenant", "symbol", F.when(F.col("i") < 3, "defined").otherwise("consumed").alias("kind"))
-    return N.symbol_join(each)
+    return N.symbol_sets_join(d.select("id", "tenant", F.slice("t", 1, 3).alias("defined"), F.slice("t", 4, F.greatest(F.size("t"), F.lit(1))).alias("consumed")))
 
 
 SYMBOL_JOIN_CENSUS = f"""WITH w AS (SELECT doc_id, source, list_filter({Q.words('text')}, lambda w: length(w) BETWEEN 2 AND 128 AND lower(w) NOT IN ({Q.quoted(sorted({*T.STOP_WORDS, *T.DROPPED_WORDS}))})) AS ws FROM documents),
@@ -262,7 +261,7 @@ SELECT tenant, count(*) AS pairs FROM (SELECT DISTINCT a.source AS tenant, a.doc
 
 def graph_bfs(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    edges = R.dense_topk(v.withColumnRenamed("id", "query_id"), v, 3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    edges = lambda nodes: R.dense_topk(v.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi").withColumnRenamed("id", "query_id"), v, 3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
     allowed = v.where("label <> 9").select(F.col("id").alias("node"))
     return N.walk(edges, v.where("id % 50 = 0").select(F.col("id").alias("node")), allowed, 3)
 
